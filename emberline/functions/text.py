@@ -10,9 +10,14 @@ ANSI_CODE = r"\u001b\[[0-9;]*[A-Za-z]"
 LOG_TIME = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?\s*"
 
 
+# The characters that count as whitespace at the ends of a text.
+WHITESPACE = ("\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004"
+              "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of whitespace, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def clip(text: Column, limit: int, keep: int) -> Column:
@@ -31,7 +36,8 @@ def field(body: Column, name: str) -> Column:
 
 def clean_log(text: Column) -> Column:
     """A log line without colour codes and timestamps."""
-    return strip(F.regexp_replace(F.regexp_replace(text, ANSI_CODE, ""), LOG_TIME, ""))
+    plain = F.when(text.contains("\u001b"), F.regexp_replace(text, ANSI_CODE, "")).otherwise(text)
+    return strip(F.regexp_replace(plain, LOG_TIME, ""))
 
 
 def mask_digits(text: Column) -> Column:

@@ -38,19 +38,22 @@ def numbered(categories: DataFrame) -> DataFrame:
 
 
 def build(classified: DataFrame, runs: DataFrame, descriptions: DataFrame, fixes: DataFrame) -> ReportParts:
-    """Every report table from the fact table. The (category, run) grain is read by the
-    roll-up and the affected runs, so it is computed once and checkpointed."""
+    """Every report table from the fact table.
+
+    The report reads each of them several times, so the roll-ups are computed once and
+    checkpointed; the fact table itself is never stored.
+    """
     done = rollup.done_rows(classified)
     valid = rollup.valid_rows(classified)
     grain = rollup.category_runs(valid).checkpoint()
     return ReportParts(
         categories=numbered(rollup.describe(rollup.rollup(grain), descriptions)),
         affected=rollup.affected_runs(grain),
-        test_ids=rollup.category_test_ids(valid),
-        subcategories=rollup.category_subcategories(valid),
-        fixes=fixes,
+        test_ids=rollup.category_test_ids(valid).checkpoint(),
+        subcategories=rollup.category_subcategories(valid).checkpoint(),
+        fixes=fixes.checkpoint(),
         unfinished=rollup.unfinished(runs),
-        totals=rollup.totals(rollup.run_verdict_rows(done)))
+        totals=rollup.totals(rollup.run_verdict_rows(done)).checkpoint())
 
 
 def _string_list(rows: DataFrame, column: str, name: str, limit: int) -> DataFrame:

@@ -32,8 +32,17 @@ def build_session(app: str = "emberline", master: str | None = None, **conf: str
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings every query relies on: UTC clock and a reliable checkpoint folder."""
+    """Settings every query relies on: UTC clock, skew handling and a checkpoint folder.
+
+    A hot run is split even where that costs another shuffle: several operators join and
+    aggregate on `run_id` in one stage, and without `force` AQE would leave them whole.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # The JVM does not compile methods above 8000 bytes of bytecode: let Spark split them.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     shared_dir(spark)
     return spark
 
