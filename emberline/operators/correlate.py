@@ -52,18 +52,32 @@ def _is_strong():
     return F.col("kind").isin("test_id", "slug")
 
 
-def match(terms: DataFrame, first_seen: DataFrame, candidates: DataFrame,
-          not_before_failure: bool) -> DataFrame:
+CANDIDATE = ("type", "ref", "date", "title", "url")
+
+
+def commit_candidates(commits: DataFrame, repository: str) -> DataFrame:
+    return commits.select(
+        F.lit("commit").alias("type"), F.col("sha").alias("ref"), F.col("author_date").alias("date"),
+        F.col("subject").alias("title"), commit_url(repository, F.col("sha")).alias("url"))
+
+
+def pull_request_candidates(pull_requests: DataFrame) -> DataFrame:
+    return pull_requests.select(
+        F.lit("pr").alias("type"), F.col("number").cast("string").alias("ref"), F.col("created").alias("date"),
+        "title", "url")
+
+
+def match(terms: DataFrame, first_seen: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidate fixes per category.
 
-    `candidates`: (ref, date, title). A test id or the whole slug in the title is a match.
-    Otherwise two weak words are needed, and a pair with two common words also has one
-    besides the category's most common word: that word is left out as a join key and
-    counted only when a pair is checked. With `not_before_failure` a candidate dated before
-    the category's first failure cannot be its fix.
+    A test id or the whole slug in the title is a match. Otherwise two weak words are
+    needed, and a pair with two common words also has one besides the category's most
+    common word: that word is left out as a join key and counted only when a pair is
+    checked. A commit dated before the category's first failure cannot be its fix; an open
+    pull request can.
     """
-    titles = candidates.select("ref", "date", "title", words(F.col("title")).alias("words"))
-    postings = titles.select("ref", "date", F.explode("words").alias("token"))
+    titles = candidates.select(*CANDIDATE, words(F.col("title")).alias("words"))
+    postings = titles.select("type", "ref", "date", F.explode("words").alias("token"))
     frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
     weak = terms.where(~_is_strong())
     common = (weak.join(frequency, "token").groupBy("category")
@@ -73,36 +87,29 @@ def match(terms: DataFrame, first_seen: DataFrame, candidates: DataFrame,
             .unionByName(weak.join(common, ["category", "token"], "left_anti")
                          .select("category", "token", "kind", "weight"))
             .join(first_seen.select("category", "first_started_at"), "category"))
-    on_time = (F.col("date") >= F.col("first_started_at")) if not_before_failure else F.lit(True)
-    pairs = (keys.join(postings, "token").where(on_time)
-             .groupBy("category", "ref")
+    pairs = (keys.join(postings, "token")
+             .where((F.col("type") == "pr") | (F.col("date") >= F.col("first_started_at")))
+             .groupBy("category", "type", "ref")
              .agg(F.max(F.when(_is_strong(), F.col("weight"))).alias("strong")))
     # The weak words of one category: as many as its slug and example error have.
     weak_words = weak.groupBy("category").agg(F.collect_set("token").alias("weak_words"))
-    checked = (pairs.join(titles, "ref").join(weak_words, "category", "left")
+    checked = (pairs.join(titles, ["type", "ref"]).join(weak_words, "category", "left")
                .withColumn("weak_hits", F.coalesce(F.size(F.array_intersect("words", "weak_words")), F.lit(0))
                            .cast("bigint")))
     action = F.arrays_overlap("words", F.array(*[F.lit(w) for w in ACTION_WORDS]))
     return (checked.where(F.col("strong").isNotNull() | (F.col("weak_hits") >= WEAK_NEEDED))
-            .select("category", "ref", "date", "title",
+            .select("category", *CANDIDATE,
                     F.when(F.col("strong").isNotNull(), "match").otherwise("possible").alias("confidence"),
                     "weak_hits",
                     (F.coalesce("strong", F.lit(WEIGHTS["error"])) + F.when(action, WEIGHTS["action"]).otherwise(0))
                     .cast("bigint").alias("weight")))
 
 
-def commit_items(matches: DataFrame, repository: str) -> DataFrame:
+def fix_items(matches: DataFrame) -> DataFrame:
+    """Matches in the shape of the fixes file: pull requests have an id, commits a sha."""
     return matches.select(
-        "category", F.lit("commit").alias("type"), F.lit(None).cast("bigint").alias("id"),
-        F.col("ref").alias("sha"), commit_url(repository, F.col("ref")).alias("url"),
-        "title", "date", "confidence")
-
-
-def pull_request_items(matches: DataFrame, pull_requests: DataFrame) -> DataFrame:
-    urls = pull_requests.select(F.col("number").alias("id"), "url")
-    return matches.withColumn("id", F.col("ref").cast("bigint")).join(urls, "id").select(
-        "category", F.lit("pr").alias("type"), "id", F.lit(None).cast("string").alias("sha"),
-        "url", "title", "date", "confidence")
+        "category", "type", F.when(F.col("type") == "pr", F.col("ref")).cast("bigint").alias("id"),
+        F.when(F.col("type") == "commit", F.col("ref")).alias("sha"), "url", "title", "date", "confidence")
 
 
 def _sort_keys(items: DataFrame) -> DataFrame:

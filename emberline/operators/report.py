@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberline.functions.dates import relative_date
 from emberline.functions.links import detail_line, table_link
 from emberline.functions.text import clip
-from emberline.operators import rollup
+from emberline.operators import correlate, rollup
 from emberline.operators.ordering import bounded_lists, with_position
 from emberline.params import INLINE_LIST_MAX
 
@@ -25,8 +25,7 @@ class ReportParts:
 
     categories: DataFrame      # one row per category, numbered
     affected: DataFrame        # one row per (category, run)
-    test_ids: DataFrame        # one row per (category, test id)
-    subcategories: DataFrame   # one row per (category, subcategory)
+    values: DataFrame          # one row per (category, kind, value): test ids, subcategories
     fixes: DataFrame           # one row per (category, fix)
     unfinished: DataFrame      # one row per run that is not done
     totals: DataFrame          # one row
@@ -37,8 +36,8 @@ def numbered(categories: DataFrame) -> DataFrame:
     return with_position(categories, [F.desc("runs"), F.col("first_pos")], "number")
 
 
-def build(classified: DataFrame, runs: DataFrame, descriptions: DataFrame, fixes: DataFrame) -> ReportParts:
-    """Every report table from the fact table.
+def build(classified: DataFrame, runs: DataFrame, descriptions: DataFrame, candidates: DataFrame) -> ReportParts:
+    """Every report table from the fact table and the fix candidates.
 
     The report reads each of them several times, so the roll-ups are computed once and
     checkpointed; the fact table itself is never stored.
@@ -46,18 +45,20 @@ def build(classified: DataFrame, runs: DataFrame, descriptions: DataFrame, fixes
     done = rollup.done_rows(classified)
     valid = rollup.valid_rows(classified)
     grain = rollup.category_runs(valid).checkpoint()
+    values = rollup.category_values(valid).checkpoint()
+    categories = numbered(rollup.describe(rollup.rollup(grain), descriptions))
+    terms = correlate.search_terms(categories, _values(values, "test_id")).checkpoint()
     return ReportParts(
-        categories=numbered(rollup.describe(rollup.rollup(grain), descriptions)),
+        categories=categories,
         affected=rollup.affected_runs(grain),
-        test_ids=rollup.category_test_ids(valid).checkpoint(),
-        subcategories=rollup.category_subcategories(valid).checkpoint(),
-        fixes=fixes.checkpoint(),
+        values=values,
+        fixes=correlate.fix_items(correlate.match(terms, categories, candidates)).checkpoint(),
         unfinished=rollup.unfinished(runs),
         totals=rollup.totals(rollup.run_verdict_rows(done)).checkpoint())
 
 
-def _string_list(rows: DataFrame, column: str, name: str, limit: int) -> DataFrame:
-    return bounded_lists(rows, ["category"], F.col(column), None, name, limit)
+def _values(values: DataFrame, kind: str) -> DataFrame:
+    return values.where(F.col("kind") == kind).select("category", F.col("value").alias(kind))
 
 
 def nested_categories(parts: ReportParts, limit: int = INLINE_LIST_MAX) -> DataFrame:
@@ -74,10 +75,8 @@ def nested_categories(parts: ReportParts, limit: int = INLINE_LIST_MAX) -> DataF
         F.struct("type", "id", "sha", "url", "title", "date", "confidence"),
         F.struct("type", F.coalesce("sha", F.lpad(F.col("id").cast("string"), 20, "0")).alias("ref")),
         "fixes", limit)
-    ids = _string_list(parts.test_ids, "test_id", "test_ids", limit)
-    subs = _string_list(parts.subcategories, "subcategory", "subcategories", limit)
     wide = parts.categories
-    for lists in (runs, fixes, ids, subs):
+    for lists in (runs, fixes, rollup.value_lists(parts.values, limit)):
         wide = wide.join(lists, "category", "left")
 
     def listed(name: str) -> Column:
@@ -134,8 +133,7 @@ def markdown_lines(parts: ReportParts, date: str, limit: int = INLINE_LIST_MAX)
     is_flake = F.col("flake") == "yes"
     cats = parts.categories
     heading = cats.select("category", "number", "flake")
-    ids = _string_list(parts.test_ids, "test_id", "test_ids", limit)
-    subs = _string_list(parts.subcategories, "subcategory", "subcategories", limit)
+    lists = rollup.value_lists(parts.values, limit)
     matches = parts.fixes.where(F.col("confidence") == "match").withColumn(
         "link", table_link(F.col("type"), F.col("id"), F.col("sha"), F.col("url"), F.col("confidence")))
     links = bounded_lists(matches, ["category"], F.col("link"),
@@ -143,7 +141,8 @@ def markdown_lines(parts: ReportParts, date: str, limit: int = INLINE_LIST_MAX)
                                    (-F.unix_timestamp(F.try_to_timestamp("date"))).alias("age"),
                                    F.col("type").alias("t"), F.coalesce("sha", F.lpad(F.col("id").cast("string"), 20, "0")).alias("r")),
                           "links", limit)
-    wide = cats.join(ids, "category", "left").join(subs, "category", "left").join(links, "category", "left")
+    # One row per category, read by three kinds of lines.
+    wide = cats.join(lists, "category", "left").join(links, "category", "left").checkpoint()
 
     def cell(name: str) -> Column:
         count = F.coalesce(F.col(f"n_{name}"), F.lit(0))
@@ -190,8 +189,8 @@ def markdown_lines(parts: ReportParts, date: str, limit: int = INLINE_LIST_MAX)
         F.lit("\n- **Failed jobs:** "), F.col("jobs").cast("string"),
         F.when(F.coalesce("n_test_ids", zero) > 0,
                F.concat(F.lit("\n- **Test IDs:** "), cell("test_ids"))).otherwise("")))
-    long_ids = _oversized(parts.test_ids, "test_id", ids, "test_ids", limit).join(heading, "category")
-    long_subs = _oversized(parts.subcategories, "subcategory", subs, "subcategories", limit).join(heading, "category")
+    long_ids = _oversized(parts.values, "test_id", wide, "test_ids", limit).join(heading, "category")
+    long_subs = _oversized(parts.values, "subcategory", wide, "subcategories", limit).join(heading, "category")
     fix_rows = parts.fixes.join(heading, "category")
     fix_line = detail_line(*[F.col(c) for c in ("type", "id", "sha", "url", "date", "title")])
     age = F.coalesce(-F.unix_timestamp(F.try_to_timestamp("date")), F.lit(1))
@@ -237,10 +236,10 @@ def markdown_lines(parts: ReportParts, date: str, limit: int = INLINE_LIST_MAX)
     return lines
 
 
-def _oversized(rows: DataFrame, column: str, counted: DataFrame, name: str, limit: int) -> DataFrame:
+def _oversized(values: DataFrame, kind: str, counted: DataFrame, name: str, limit: int) -> DataFrame:
     """The entries of lists above the inline limit."""
     large = counted.where(F.col(f"n_{name}") > limit).select("category")
-    return rows.join(large, "category").select("category", column)
+    return _values(values, kind).join(large, "category")
 
 
 def summary_text(totals: DataFrame, categories: DataFrame) -> DataFrame:
@@ -276,6 +275,6 @@ def write(parts: ReportParts, path: str, date: str) -> None:
     records.orderBy("part", "number", "key").select("record").write.text(f"{path}/report_json")
     write_report_lines(markdown_lines(parts, date), f"{path}/report_md")
     write_json_lines(parts.affected, f"{path}/affected_runs", ["category", F.desc("epoch"), "run_id"])
-    write_json_lines(parts.test_ids, f"{path}/test_ids", ["category", "test_id"])
-    write_json_lines(parts.subcategories, f"{path}/subcategories", ["category", "subcategory"])
+    for kind in ("test_id", "subcategory"):
+        write_json_lines(_values(parts.values, kind), f"{path}/{kind}s", ["category", kind])
     write_json_lines(parts.fixes, f"{path}/fixes", ["category", "type", F.desc("date")])

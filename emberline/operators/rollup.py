@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberline.functions import categories as cat
 from emberline.functions.dates import utc_epoch
 from emberline.functions.text import clip, strip
+from emberline.operators.ordering import bounded_lists
 
 
 def done_rows(classified: DataFrame) -> DataFrame:
@@ -82,6 +83,16 @@ def listed_test_ids(rows: DataFrame, *keys: str) -> DataFrame:
             .where((F.col("test_id") != "") & ~F.col("test_id").startswith("- **")))
 
 
+def category_values(rows: DataFrame) -> DataFrame:
+    """Distinct (category, kind, value): its test ids and its subcategories, in one pass."""
+    def entry(kind: str, value):
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+    listed = F.transform(F.split("test_id", ","), lambda t: entry("test_id", strip(t)))
+    return (rows.select("category", F.inline(F.concat(listed, F.array(entry("subcategory", F.col("subcategory"))))))
+            .where((F.col("value") != "") & ~F.col("value").startswith("- **")).distinct())
+
+
 def category_test_ids(rows: DataFrame) -> DataFrame:
     return listed_test_ids(rows, "category").distinct()
 
@@ -90,6 +101,18 @@ def category_subcategories(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("subcategory") != "").select("category", "subcategory").distinct()
 
 
+def value_lists(values: DataFrame, limit: int) -> DataFrame:
+    """Counts and bounded lists of test ids and subcategories, one row per category."""
+    lists = bounded_lists(values, ["category", "kind"], F.col("value"), None, "items", limit)
+
+    def of(kind: str, column: str):
+        return F.max(F.when(F.col("kind") == kind, F.col(column)))
+
+    return lists.groupBy("category").agg(
+        of("test_id", "n_items").alias("n_test_ids"), of("test_id", "items").alias("test_ids"),
+        of("subcategory", "n_items").alias("n_subcategories"), of("subcategory", "items").alias("subcategories"))
+
+
 def run_verdict_rows(done: DataFrame) -> DataFrame:
     """Per run: any `no` is a real failure, else any `yes` a flake, else unclear."""
     return (done.groupBy("run_id")

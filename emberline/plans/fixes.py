@@ -23,12 +23,18 @@ def search_tokens(spark, sf):
     return inputs.search_terms(spark, sf)
 
 
+def _commit_matches(spark, sf):
+    found = correlate.commit_candidates(inputs.commit_candidates(spark, sf), params.REPOSITORY)
+    return inputs.matches(spark, sf, found)
+
+
 def match_commits(spark, sf):
-    return inputs.commit_matches(spark, sf)
+    return _commit_matches(spark, sf).drop("type", "url")
 
 
 def match_prs(spark, sf):
-    return inputs.pull_request_matches(spark, sf)
+    found = correlate.pull_request_candidates(inputs.pull_requests(spark, sf))
+    return inputs.matches(spark, sf, found).drop("type", "url")
 
 
 def fix_confidence(spark, sf):
@@ -37,7 +43,7 @@ def fix_confidence(spark, sf):
 
 def fix_file_kind(spark, sf):
     return correlate.fix_file_kinds(
-        correlate.commit_items(inputs.commit_matches(spark, sf), params.REPOSITORY), adapter.candidate_files(spark, sf))
+        correlate.fix_items(_commit_matches(spark, sf)), adapter.candidate_files(spark, sf))
 
 
 def sorted_fixes(spark, sf):

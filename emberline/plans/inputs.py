@@ -62,40 +62,25 @@ def pull_requests(spark: SparkSession, sf: str) -> DataFrame:
     return readers.pull_request_candidates(adapter.pull_requests(spark, sf))
 
 
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return correlate.commit_candidates(commit_candidates(spark, sf), params.REPOSITORY).unionByName(
+        correlate.pull_request_candidates(pull_requests(spark, sf)))
+
+
 def search_terms(spark: SparkSession, sf: str, cats: DataFrame | None = None) -> DataFrame:
     cats = categories(spark, sf) if cats is None else cats
     return correlate.search_terms(cats, rollup.category_test_ids(valid(spark, sf)))
 
 
-def commit_matches(spark: SparkSession, sf: str, cats: DataFrame | None = None,
-                   terms: DataFrame | None = None) -> DataFrame:
-    cats = _kept(categories(spark, sf)) if cats is None else cats
-    terms = _kept(search_terms(spark, sf, cats)) if terms is None else terms
-    found = commit_candidates(spark, sf).select(
-        F.col("sha").alias("ref"), F.col("author_date").alias("date"), F.col("subject").alias("title"))
-    return correlate.match(terms, cats, found, not_before_failure=True)
-
-
-def pull_request_matches(spark: SparkSession, sf: str, cats: DataFrame | None = None,
-                         terms: DataFrame | None = None) -> DataFrame:
-    cats = _kept(categories(spark, sf)) if cats is None else cats
-    terms = _kept(search_terms(spark, sf, cats)) if terms is None else terms
-    found = pull_requests(spark, sf).select(
-        F.col("number").cast("string").alias("ref"), F.col("created").alias("date"), "title")
-    return correlate.match(terms, cats, found, not_before_failure=False)
+def matches(spark: SparkSession, sf: str, found: DataFrame) -> DataFrame:
+    """The rolled-up categories and their terms are read several times: computed once."""
+    cats = categories(spark, sf).select("category", "example_error", "first_started_at").checkpoint()
+    terms = search_terms(spark, sf, cats).checkpoint()
+    return correlate.match(terms, cats, found)
 
 
 def fix_items(spark: SparkSession, sf: str) -> DataFrame:
-    cats = _kept(categories(spark, sf))
-    terms = _kept(search_terms(spark, sf, cats))
-    commits = correlate.commit_items(commit_matches(spark, sf, cats, terms), params.REPOSITORY)
-    requests = correlate.pull_request_items(pull_request_matches(spark, sf, cats, terms), pull_requests(spark, sf))
-    return commits.unionByName(requests)
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """A rolled-up table that several branches of one plan read: computed once."""
-    return df.checkpoint()
+    return correlate.fix_items(matches(spark, sf, candidates(spark, sf)))
 
 
 def phases(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from emberline.functions import categories as cat
 from emberline.functions.dates import relative_date, utc_epoch
 from emberline.functions.text import clip
 from emberline.operators import correlate, report, rollup
-from emberline.operators.ordering import bounded_lists, with_position
+from emberline.operators.ordering import with_position
 from emberline.plans import inputs
 from emberline.plans.inputs import categories, done, valid
 from emberline.sources import adapter
@@ -22,15 +22,12 @@ def _reference():
 def category_rollup(spark, sf):
     """One report row per category; the joined lists hold at most INLINE_LIST_MAX entries."""
     rows = valid(spark, sf)
-    ids = bounded_lists(rollup.category_test_ids(rows), ["category"], F.col("test_id"), None,
-                        "test_ids", params.INLINE_LIST_MAX)
-    subs = bounded_lists(rollup.category_subcategories(rows), ["category"], F.col("subcategory"), None,
-                         "subcategories", params.INLINE_LIST_MAX)
+    lists = rollup.value_lists(rollup.category_values(rows), params.INLINE_LIST_MAX)
 
     def listed(name):
         return F.coalesce(F.array_join(name, ", "), F.lit("")).alias(name)
 
-    return (rollup.rollup(rollup.category_runs(rows)).join(ids, "category", "left").join(subs, "category", "left")
+    return (rollup.rollup(rollup.category_runs(rows)).join(lists, "category", "left")
             .select("category", "flake", "runs", "jobs", "example_error", "example_summary",
                     F.coalesce("n_test_ids", F.lit(0)).alias("n_test_ids"), listed("test_ids"),
                     F.coalesce("n_subcategories", F.lit(0)).alias("n_subcategories"), listed("subcategories"),

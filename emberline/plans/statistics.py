@@ -53,7 +53,7 @@ def _parts(spark, sf):
     classified = adapter.classified(spark, sf)
     listed = rollup.category_list(classified).where(F.col("description") != "")
     descriptions = listed.select(F.col("category").alias("full_category"), F.col("category").alias("pos"), "description")
-    return report.build(classified, inputs.failed_runs(spark, sf), descriptions, inputs.fix_items(spark, sf))
+    return report.build(classified, inputs.failed_runs(spark, sf), descriptions, inputs.candidates(spark, sf))
 
 
 def report_json(spark, sf):

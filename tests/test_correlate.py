@@ -4,6 +4,7 @@ from conftest import values
 
 from emberline.operators import correlate
 
+CANDIDATE = "type STRING, ref STRING, date STRING, title STRING, url STRING"
 ITEM = "category STRING, type STRING, id LONG, sha STRING, url STRING, title STRING, date STRING, confidence STRING"
 
 
@@ -12,13 +13,15 @@ def test_match_rules(table):
                    ("bug/pool", "exhausted", "error", 2), ("bug/pool", "worker", "error", 2)],
                   "category STRING, token STRING, kind STRING, weight INT")
     seen = table([("bug/pool", "2026-02-10T00:00:00Z")], "category STRING, first_started_at STRING")
-    found = table([("1", "2026-02-11T00:00:00Z", "Fix T7"), ("2", "2026-02-09T00:00:00Z", "Fix T7"), ("3", "2026-02-11T00:00:00Z", "Database only"),
-                   ("4", "2026-02-11T00:00:00Z", "database worker cleanup"), ("5", "2026-02-10T00:00:00Z", "Grow pool"),
-                   ("6", "2026-02-11T00:00:00Z", "worker exhausted")], "ref STRING, date STRING, title STRING")
-    got = correlate.match(terms, seen, found, not_before_failure=True)
+    found = table([("commit", r, f"2026-02-{d}T00:00:00Z", t, "u") for r, d, t in (
+        ("1", "11", "Fix T7"), ("2", "09", "Fix T7"), ("3", "11", "Database only"), ("4", "11", "database worker cleanup"),
+        ("5", "10", "Grow pool"), ("6", "11", "worker exhausted"))], CANDIDATE)
+    got = correlate.match(terms, seen, found)
     assert values(got, "ref", "confidence", "weak_hits", "weight") == [
         ("1", "match", 0, 5), ("4", "possible", 2, 2), ("5", "match", 0, 3), ("6", "possible", 2, 2)]
-    assert ("2",) in values(correlate.match(terms, seen, found, not_before_failure=False), "ref")
+    requests = correlate.match(terms, seen, found.replace("commit", "pr", "type"))
+    assert ("2",) in values(requests, "ref")
+    assert values(correlate.fix_items(requests).where("title = 'Grow pool'"), "id", "sha") == [(5, None)]
 
 
 def test_weak_matches_equal_brute_force(table):
@@ -28,9 +31,9 @@ def test_weak_matches_equal_brute_force(table):
     titles = {str(i): rng.sample(vocabulary, rng.randint(1, 5)) for i in range(40)}
     terms = table([(c, w, "error", 2) for c, ws in cats.items() for w in ws], "category STRING, token STRING, kind STRING, weight INT")
     seen = table([(c, "") for c in cats], "category STRING, first_started_at STRING")
-    found = table([(i, "2026-02-11T00:00:00Z", " ".join(ws)) for i, ws in titles.items()], "ref STRING, date STRING, title STRING")
+    found = table([("commit", i, "2026-02-11T00:00:00Z", " ".join(ws), "u") for i, ws in titles.items()], CANDIDATE)
     expected = sorted((c, i, len(set(cw) & set(tw))) for c, cw in cats.items() for i, tw in titles.items() if len(set(cw) & set(tw)) >= 2)
-    assert values(correlate.match(terms, seen, found, True), "category", "ref", "weak_hits") == expected
+    assert values(correlate.match(terms, seen, found), "category", "ref", "weak_hits") == expected
 
 
 def test_orders(table):

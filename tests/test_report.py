@@ -28,7 +28,7 @@ def test_small_limit_moves_lists_to_their_own_lines(spark):
     nested = report.nested_categories(parts, limit=1)
     assert nested.where(F.col("affected_runs").isNull() & (F.col("runs") > 1)).count() == nested.where("runs > 1").count()
     lines = report.markdown_lines(parts, "2001-08-01", limit=1)
-    ids = parts.test_ids.groupBy("category").count().where("count > 1").agg(F.sum("count")).first()[0]
+    ids = parts.values.where("kind = 'test_id'").groupBy("category").count().where("count > 1").agg(F.sum("count")).first()[0]
     assert lines.where("section = 4 AND item = 1").count() == ids
     assert lines.where("section = 4 AND item = 11").count() == parts.affected.count()
 
