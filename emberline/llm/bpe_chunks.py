@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.llm import sketch
 from emberline.llm.encoding import WordUnits, encoder, tokenizer
-from emberline.llm.params import SKETCH_WORDS
 from emberline.llm.store import Workspace
 from emberline.llm.words import blocks, run_hashes
 
@@ -90,23 +90,19 @@ def _hashes(batches):
 
 
 def shared_sketch(docs: DataFrame) -> np.ndarray:
-    """One bit for each chunk that occurs more than once; a chunk is known by 64 bits of its digest."""
+    """The chunks that occur more than once, each known by 64 bits of its digest."""
     shared = docs.select("text").mapInArrow(_hashes, "h long").groupBy("h").count().where("count > 1")
-    bits = shared.select(F.pmod("h", F.lit(SKETCH_WORDS)).alias("word"),
-                         F.expr("shiftleft(1L, int(pmod(shiftrightunsigned(h, 32), 64)))").alias("bit"))
-    filled = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    sketch = np.zeros(SKETCH_WORDS, np.uint64)
-    sketch[filled["word"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
-    return sketch
+    return sketch.build(shared, "h")
 
 
-def _segments(text: bytes, ends: list[int], sketch: np.ndarray):
+def _segments(text: bytes, ends: list[int], bits: np.ndarray):
     """(bytes to encode here) or (chunk, digest, drop_head, drop_tail), in the order of the text."""
     done, out = 0, []
-    for a, b in zip([0, *ends[:-1]], ends, strict=True):
-        digest = _digest(text[a:b])
-        short = _short(digest)
-        if not int(sketch[short % SKETCH_WORDS]) >> ((short & 0xFFFFFFFFFFFFFFFF) >> 32) % 64 & 1:
+    cuts = list(zip([0, *ends[:-1]], ends, strict=True))
+    digests = [_digest(text[a:b]) for a, b in cuts]
+    known = sketch.may_hold(bits, np.array([_short(d) for d in digests], np.int64)).tolist()
+    for (a, b), digest, shared in zip(cuts, digests, known, strict=True):
+        if not shared:
             continue
         head = not (a == 0 or text[a - 1] in _GAPS or text[a] in _GAPS)
         tail = not (b == len(text) or text[b - 1] in _GAPS or text[b] in _GAPS)
@@ -159,11 +155,11 @@ def _width(path: str) -> str:
     return "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def _encode_pieces(path: str, sketch):
+def _encode_pieces(path: str, sent_bits):
     def run(batches):
         from pyspark import TaskContext
 
-        engine, finish, width, bits = encoder(WordUnits, path), _Finish(path), _width(path), sketch.value
+        engine, finish, width, bits = encoder(WordUnits, path), _Finish(path), _width(path), sent_bits.value
         row, sent = TaskContext.get().partitionId() << 33, set()
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
@@ -242,9 +238,9 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = spark.sparkContext.broadcast(shared_sketch(docs))
+    bits = spark.sparkContext.broadcast(shared_sketch(docs))
     with Workspace(spark) as work:
-        pieces = work.table(docs.mapInArrow(_encode_pieces(path, sketch), PIECES), "pieces")
+        pieces = work.table(docs.mapInArrow(_encode_pieces(path, bits), PIECES), "pieces")
         chunks = pieces.where("chunk is not null").select("digest", "chunk").dropDuplicates(["digest"])
         codes = chunks.mapInArrow(_encode_chunks(path), "digest binary, ids binary, n_head int, n_tail int")
         size = 2 if _width(path) == "<u2" else 4
@@ -257,5 +253,5 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             _join_pieces(path), RESULT)
         whole = pieces.where("n_tokens is not null").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
         result = work.result(whole.union(joined))
-    sketch.unpersist()
+    bits.unpersist()
     return result

@@ -15,6 +15,8 @@ SIGNATURE_BATCH = 32
 STAR_ROUNDS = 3
 #: Members of a bucket or cell that one task compares with as many others.
 BLOCK_ROWS = 2048
+#: The same where the rows carry texts.
+TEXT_BLOCK_ROWS = 512
 
 #: Labelled rows that a classifier is fitted on, at most.
 GAM_ROWS = 20_000
