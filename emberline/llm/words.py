@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of text handled by one pass of numpy; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -47,7 +47,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(max(21, int(n - 1).bit_length()))
+    up, down = _powers(max(20, int(n - 1).bit_length()))
     return up[:n], down[:n]
 
 
