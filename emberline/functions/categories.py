@@ -31,10 +31,9 @@ def has_valid_prefix(name: Column) -> Column:
     return reduce(lambda a, b: a | b, [name.startswith(p) for p in VALID_PREFIXES])
 
 
-def slug(text: Column, max_words: int = 6) -> Column:
-    """Lower-case words joined by hyphens, the first few only."""
-    parts = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    return F.array_join(F.slice(parts, 1, max_words), "-")
+def slug(text: Column) -> Column:
+    """All words in lower case, joined by hyphens: different errors stay apart."""
+    return F.array_join(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""), "-")
 
 
 def compose(kind: Column, root_cause: Column, systemic: Column, test_id: Column) -> Column:

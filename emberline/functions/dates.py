@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def utc_epoch(stamp: Column) -> Column:
-    """UTC seconds of an ISO timestamp or date; missing and unreadable text count as 0."""
-    return F.coalesce(F.unix_timestamp(F.try_to_timestamp(stamp)), F.lit(0).cast("bigint"))
+    """UTC seconds of an ISO timestamp or date; missing and unreadable text count as 0.
+
+    A year or a month alone is no date.
+    """
+    dated = F.when(stamp.rlike(r"^\s*\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(stamp))
+    return F.coalesce(F.unix_timestamp(dated), F.lit(0).cast("bigint"))
 
 
 def days_before(stamp: Column, reference: Column) -> Column:

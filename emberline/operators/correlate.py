@@ -55,10 +55,10 @@ def _is_strong():
 CANDIDATE = ("type", "ref", "date", "title", "url")
 
 
-def commit_candidates(commits: DataFrame, repository: str) -> DataFrame:
+def commit_candidates(commits: DataFrame, base: str, repository: str) -> DataFrame:
     return commits.select(
         F.lit("commit").alias("type"), F.col("sha").alias("ref"), F.col("author_date").alias("date"),
-        F.col("subject").alias("title"), commit_url(repository, F.col("sha")).alias("url"))
+        F.col("subject").alias("title"), commit_url(base, repository, F.col("sha")).alias("url"))
 
 
 def pull_request_candidates(pull_requests: DataFrame) -> DataFrame:
@@ -92,16 +92,20 @@ def match(terms: DataFrame, first_seen: DataFrame, candidates: DataFrame) -> Dat
              .groupBy("category", "type", "ref")
              .agg(F.max(F.when(_is_strong(), F.col("weight"))).alias("strong")))
     # The weak words of one category: as many as its slug and example error have.
-    weak_words = weak.groupBy("category").agg(F.collect_set("token").alias("weak_words"))
+    weak_words = weak.groupBy("category").agg(
+        F.collect_set("token").alias("weak_words"),
+        F.collect_set(F.when(F.col("kind") == "component", F.col("token"))).alias("components"))
     checked = (pairs.join(titles, ["type", "ref"]).join(weak_words, "category", "left")
                .withColumn("weak_hits", F.coalesce(F.size(F.array_intersect("words", "weak_words")), F.lit(0))
                            .cast("bigint")))
+    named = F.coalesce(F.arrays_overlap("words", "components"), F.lit(False))
+    weak_weight = F.when(named, WEIGHTS["component"]).otherwise(WEIGHTS["error"])
     action = F.arrays_overlap("words", F.array(*[F.lit(w) for w in ACTION_WORDS]))
     return (checked.where(F.col("strong").isNotNull() | (F.col("weak_hits") >= WEAK_NEEDED))
             .select("category", *CANDIDATE,
                     F.when(F.col("strong").isNotNull(), "match").otherwise("possible").alias("confidence"),
                     "weak_hits",
-                    (F.coalesce("strong", F.lit(WEIGHTS["error"])) + F.when(action, WEIGHTS["action"]).otherwise(0))
+                    (F.coalesce("strong", weak_weight) + F.when(action, WEIGHTS["action"]).otherwise(0))
                     .cast("bigint").alias("weight")))
 
 

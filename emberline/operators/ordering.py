@@ -36,23 +36,6 @@ def with_position(df: DataFrame, order: list[Column], name: str,
             .withColumn(name, F.col("_index") - F.col("_first") + 1).drop("_index", "_first"))
 
 
-def bounded_lists(df: DataFrame, keys: list[str], item: Column, order: Column | None,
-                  name: str, limit: int) -> DataFrame:
-    """One sorted array per key, only for keys with at most `limit` entries.
-
-    Returns every key with its entry count `n_<name>` and the array (null when larger).
-    Counts are combined map-side, and each task passes on at most `limit` entries of a key,
-    so a large group neither travels as a whole nor is gathered.
-    """
-    rows = df.select(*keys, F.struct((item if order is None else order).alias("o"),
-                                     item.alias("v")).alias("_entry"))
-    counts = rows.groupBy(*keys).agg(F.count("*").alias(f"n_{name}"))
-    lists = (keep_first(rows, keys, [F.col("_entry.o")], limit)
-             .groupBy(*keys).agg(F.array_sort(F.collect_list("_entry")).alias("_entries")))
-    whole = F.when(F.col(f"n_{name}") <= limit, F.transform("_entries", lambda e: e["v"]))
-    return counts.join(lists, keys).withColumn(name, whole).drop("_entries")
-
-
 def keep_first(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first `n` rows of each key; Spark limits each group before the shuffle too."""
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.dates import relative_date
-from emberline.functions.links import detail_line, table_link
+from emberline.functions.dates import utc_epoch
+from emberline.functions.links import detail_line
 from emberline.functions.text import clip
 from emberline.operators import correlate, rollup
-from emberline.operators.ordering import bounded_lists, with_position
-from emberline.params import INLINE_LIST_MAX
+from emberline.operators.ordering import with_position
 
-# Wording of the report metadata.
 GENERATOR = "emberline"
-NO_FAILURES = "No failed workflow runs found for the selected filters."
+NO_FAILURES = "The selection holds no failed run."
 
 
 @dataclass
@@ -61,51 +60,43 @@ def _values(values: DataFrame, kind: str) -> DataFrame:
     return values.where(F.col("kind") == kind).select("category", F.col("value").alias(kind))
 
 
-def nested_categories(parts: ReportParts, limit: int = INLINE_LIST_MAX) -> DataFrame:
-    """One row per category with its lists nested where they have at most `limit` entries.
+def with_counts(parts: ReportParts) -> DataFrame:
+    """The categories with the number of their test ids, subcategories and fixes."""
+    wide = parts.categories.join(rollup.value_counts(parts.values), "category", "left").join(
+        correlate.item_counts(parts.fixes), "category", "left")
+    counts = ("n_test_ids", "n_subcategories", "fixes", "matches", "possible")
+    return wide.select(*parts.categories.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
-    A larger list is null here and its count tells its size; the flat table has all rows.
+
+def json_records(parts: ReportParts, date: str) -> DataFrame:
+    """The report as JSON lines, of one shape at every size.
+
+    Parts: 0 the header, 1 one record per category with its counts, 2 to 5 one record per test id,
+    subcategory, affected run and fix, named by their category, 6 one per unfinished run.
     """
-    runs = bounded_lists(
-        parts.affected, ["category"],
-        F.struct("run_id", "run_url", "branch", "date", "run_started_at", "jobs_failed"),
-        F.struct((-F.col("epoch")).alias("age"), F.col("run_id").alias("run")), "affected_runs", limit)
-    fixes = bounded_lists(
-        parts.fixes, ["category"],
-        F.struct("type", "id", "sha", "url", "title", "date", "confidence"),
-        F.struct("type", F.coalesce("sha", F.lpad(F.col("id").cast("string"), 20, "0")).alias("ref")),
-        "fixes", limit)
-    wide = parts.categories
-    for lists in (runs, fixes, rollup.value_lists(parts.values, limit)):
-        wide = wide.join(lists, "category", "left")
-
-    def listed(name: str) -> Column:
-        count = F.coalesce(F.col(f"n_{name}"), F.lit(0))
-        return F.when(count == 0, F.array()).otherwise(F.col(name)).alias(name)
-
-    return wide.select("number", F.col("category").alias("name"), "description", F.col("flake").alias("is_flake"),
-                       "runs", "jobs", listed("test_ids"), listed("subcategories"), "example_error",
-                       "example_summary", listed("affected_runs"), listed("fixes"))
-
-
-def json_records(parts: ReportParts, date: str, limit: int = INLINE_LIST_MAX) -> DataFrame:
-    """The report as JSON lines: one header, one record per category in report order, one
-    per unfinished run. Nothing gathers the report into one row."""
-    nulls = {"ignoreNullFields": "false"}
-    metadata = F.struct(F.lit(GENERATOR).alias("generated_by"))
-    header = parts.totals.select(
-        F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("number"), F.lit("").alias("key"),
-        F.to_json(F.struct(metadata.alias("metadata"), F.lit(date).alias("date"), "total_runs", "flake_runs",
-                           "real_failure_runs", "unclear_runs", "total_jobs"), nulls).alias("record"))
-    nested = nested_categories(parts, limit)
-    fields = [c for c in nested.columns if c != "number"]
-    body = nested.select(F.lit(1).alias("part"), "number", F.col("name").alias("key"),
-                         F.to_json(F.struct(*fields), nulls).alias("record"))
-    open_runs = parts.unfinished.select(
-        F.lit(2).alias("part"), F.col("status_rank").cast("bigint").alias("number"),
-        F.col("run_id").cast("string").alias("key"),
-        F.to_json(F.struct(F.col("run_id").cast("string").alias("run_id"), "status", "run_url"), nulls).alias("record"))
-    return header.unionByName(body).unionByName(open_runs)
+    def record(df: DataFrame, part: int, number: Column, key: Column, *fields) -> DataFrame:
+        return df.select(F.lit(part).alias("part"), number.cast("bigint").alias("number"), key.cast("string").alias("key"),
+                         F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record"))
+
+    number, name = F.col("number"), F.col("category").alias("name")
+    heading = parts.categories.select("category", "number")
+    values = parts.values.join(heading, "category")
+    runs, fixes = parts.affected.join(heading, "category"), parts.fixes.join(heading, "category")
+    ref = F.coalesce("sha", F.col("id").cast("string"))
+    pieces = [
+        record(parts.totals, 0, F.lit(0), F.lit(""), F.struct(F.lit(GENERATOR).alias("generated_by")).alias("metadata"),
+               F.lit(date).alias("date"), "total_runs", "flake_runs", "real_failure_runs", "unclear_runs", "total_jobs"),
+        record(with_counts(parts), 1, number, F.col("category"), name, "description", F.col("flake").alias("is_flake"), "runs", "jobs",
+               "n_test_ids", "n_subcategories", F.col("fixes").alias("n_fixes"), "example_error", "example_summary"),
+        *[record(values.where(F.col("kind") == kind), part, number, F.col("value"), name, F.col("value").alias(kind))
+          for part, kind in ((2, "test_id"), (3, "subcategory"))],
+        record(runs, 4, number, F.col("run_id"), name, "run_id", "run_url", "branch", "date", "run_started_at", "jobs_failed"),
+        record(fixes, 5, number, F.concat_ws("-", "type", ref), name, "type", "id", "sha", "url", "title", "date", "confidence"),
+        record(parts.unfinished, 6, F.col("status_rank"), F.col("run_id"), F.col("run_id").cast("string").alias("run_id"), "status", "run_url")]
+    records = pieces[0]
+    for piece in pieces[1:]:
+        records = records.unionByName(piece)
+    return records
 
 
 # --- Markdown ----------------------------------------------------------------------
@@ -117,131 +108,98 @@ def _rows(df: DataFrame, section: int, block: Column, number: Column, item: int,
                      epoch.cast("bigint").alias("rank"), key.alias("key"), line.alias("line"))
 
 
-def _text(spark, section: int, block: int, text: str) -> DataFrame:
-    return _rows(spark.range(1), section, F.lit(block), F.lit(0), 0, F.lit(0), F.lit(""), F.lit(text))
-
-
-def markdown_lines(parts: ReportParts, date: str, limit: int = INLINE_LIST_MAX) -> DataFrame:
+def markdown_lines(parts: ReportParts, date: str) -> DataFrame:
     """The readable report as lines; sorting by the key columns gives the document.
 
     Sections: 0 head, 1 table of flakes, 2 table of the rest, 3 total, 4 details (flakes
-    first, numbers kept), 5 unfinished runs. Lists of affected runs, fixes and oversized
-    test ids are one line each, so no category is ever put into one string.
+    first, numbers kept), 5 unfinished runs. Test ids, subcategories, fixes and affected runs
+    are one line each at every size, so no category is ever put into one string.
     """
-    spark = parts.categories.sparkSession
     zero, empty = F.lit(0), F.lit("")
     is_flake = F.col("flake") == "yes"
-    cats = parts.categories
+    # One row per category, read by several kinds of lines.
+    cats = with_counts(parts).checkpoint()
     heading = cats.select("category", "number", "flake")
-    lists = rollup.value_lists(parts.values, limit)
-    matches = parts.fixes.where(F.col("confidence") == "match").withColumn(
-        "link", table_link(F.col("type"), F.col("id"), F.col("sha"), F.col("url"), F.col("confidence")))
-    links = bounded_lists(matches, ["category"], F.col("link"),
-                          F.struct(F.when(F.col("date") == "", 1).otherwise(0).alias("u"),
-                                   (-F.unix_timestamp(F.try_to_timestamp("date"))).alias("age"),
-                                   F.col("type").alias("t"), F.coalesce("sha", F.lpad(F.col("id").cast("string"), 20, "0")).alias("r")),
-                          "links", limit)
-    # One row per category, read by three kinds of lines.
-    wide = cats.join(lists, "category", "left").join(links, "category", "left").checkpoint()
-
-    def cell(name: str) -> Column:
-        count = F.coalesce(F.col(f"n_{name}"), F.lit(0))
-        return F.when(count == 0, "").when(count <= limit, F.array_join(name, ", ")) \
-                .otherwise(F.concat(count.cast("string"), F.lit(" entries, see details")))
+    number = F.col("number")
+
+    def text(name: str) -> Column:
+        return F.col(name).cast("string")
+
+    def cells(*values: Column) -> Column:
+        return F.concat(F.lit("| "), F.concat_ws(" | ", *values), F.lit(" |"))
+
+    def head_of(*titles: str) -> str:
+        return "| " + " | ".join(titles) + " |\n" + "|---" * len(titles) + "|"
 
-    last = relative_date(F.col("last_started_at"), F.lit(date).cast("date"))
-    summary_line = F.concat(
-        F.lit("| "), F.col("number").cast("string"), F.lit(" | `"), F.col("category"), F.lit("` | "),
-        cell("subcategories"), F.lit(" | "), F.col("runs").cast("string"), F.lit("/"),
-        F.col("jobs").cast("string"), F.lit(" | "), last, F.lit(" | "), cell("links"), F.lit(" |"))
     section = F.when(is_flake, 1).otherwise(2)
-    summary = wide.select(section.alias("section"), F.lit(1).alias("block"), "number", F.lit(0).alias("item"),
-                          F.lit(0).cast("bigint").alias("rank"), F.lit("").alias("key"), summary_line.alias("line"))
-    table_head = ("| # | Category | Subcategory | Runs/Jobs | Last Occurred | Fix(-es) |\n"
-                  "|---|----------|-------------|-----------|---------------|----------|")
-    # A table title appears only when the table has rows: one row per kind present.
+    last = relative_date(F.col("last_started_at"), F.lit(date).cast("date"))
+    summary = cats.select(section.alias("section"), F.lit(1).alias("block"), "number", F.lit(0).alias("item"),
+                          F.lit(0).cast("bigint").alias("rank"), F.lit("").alias("key"), cells(
+                              text("number"), F.concat(F.lit("`"), F.col("category"), F.lit("`")), text("n_subcategories"),
+                              text("runs"), text("jobs"), last, text("matches"), text("possible")).alias("line"))
+    titles = head_of("No.", "Root cause", "Subcategories", "Runs", "Jobs", "Last seen", "Fixes", "Possible fixes")
+    # A table appears only when it has rows: one row per kind present.
     present = cats.select(section.alias("section")).distinct().select(
         "section", F.lit(0).alias("block"), F.lit(0).cast("bigint").alias("number"), F.lit(0).alias("item"),
         F.lit(0).cast("bigint").alias("rank"), F.lit("").alias("key"),
-        F.concat(F.when(F.col("section") == 1, "\n### Flakes\n\n").otherwise("\n### Real Failures\n\n"),
-                 F.lit(table_head)).alias("line"))
+        F.concat(F.when(F.col("section") == 1, "\n### Flaky causes\n\n").otherwise("\n### Lasting causes\n\n"), F.lit(titles)).alias("line"))
 
-    t = {c: F.col(c).cast("string") for c in parts.totals.columns}
     head = _rows(parts.totals, 0, zero, zero, 0, zero, empty, F.concat(
-        F.lit(f"# Flaky Test Analysis\n\n**Date:** {date}\n\n**"), t["total_runs"], F.lit(" failed runs** analyzed: **"),
-        t["flake_runs"], F.lit(" caused by flakes**, **"), t["real_failure_runs"], F.lit(" caused by real failures**"),
-        F.when(F.col("unclear_runs") > 0, F.concat(F.lit(", **"), t["unclear_runs"], F.lit(" unclear**"))).otherwise(""),
-        F.lit(".\n\nEach category below maps to exactly **1 root cause / 1 fix**.\n\n## Summary")))
+        F.lit(f"# Why CI runs failed\n\nAs of {date}. Failed runs: "), text("total_runs"), F.lit("; flaky "), text("flake_runs"),
+        F.lit(", lasting "), text("real_failure_runs"), F.lit(", undecided "), text("unclear_runs"), F.lit(".")))
     total = _rows(parts.totals, 3, zero, zero, 0, zero, empty, F.concat(
-        F.lit("\n**Total: "), t["total_runs"], F.lit(" failed runs, "), t["total_jobs"],
-        F.lit(" failed jobs**\n\n---\n\n## Root Causes (Detail)\n")))
+        F.lit("\nFailed jobs: "), text("total_jobs"), F.lit(" in "), text("total_runs"), F.lit(" runs.\n\n## Causes one by one\n")))
 
     detail_block = F.when(is_flake, 0).otherwise(1)
-    number = F.col("number")
 
     def detail(df: DataFrame, item: int, line: Column, rank: Column = zero, key: Column = empty) -> DataFrame:
         return _rows(df, 4, detail_block, number, item, rank, key, line)
 
-    opening = detail(wide, 0, F.concat(
-        F.lit("### "), number.cast("string"), F.lit(". `"), F.col("category"), F.lit("`\n"),
-        F.when(F.col("description") != "", F.concat(F.lit("\n**Description:** "), F.col("description"), F.lit("\n"))).otherwise(""),
-        F.lit("\n- **Failed runs:** "), F.col("runs").cast("string"),
-        F.lit("\n- **Failed jobs:** "), F.col("jobs").cast("string"),
-        F.when(F.coalesce("n_test_ids", zero) > 0,
-               F.concat(F.lit("\n- **Test IDs:** "), cell("test_ids"))).otherwise("")))
-    long_ids = _oversized(parts.values, "test_id", wide, "test_ids", limit).join(heading, "category")
-    long_subs = _oversized(parts.values, "subcategory", wide, "subcategories", limit).join(heading, "category")
+    def part(condition: Column, *pieces: Column) -> Column:
+        return F.when(condition, F.concat(*pieces)).otherwise("")
+
+    opening = detail(cats, 0, F.concat(
+        F.lit("### "), text("number"), F.lit(". `"), F.col("category"), F.lit("`\n"),
+        part(F.col("description") != "", F.lit("\n"), F.col("description"), F.lit("\n")),
+        F.lit("\n- runs: "), text("runs"), F.lit("\n- jobs: "), text("jobs")))
+    values = parts.values.join(heading, "category")
     fix_rows = parts.fixes.join(heading, "category")
     fix_line = detail_line(*[F.col(c) for c in ("type", "id", "sha", "url", "date", "title")])
-    age = F.coalesce(-F.unix_timestamp(F.try_to_timestamp("date")), F.lit(1))
+    epoch = utc_epoch(F.col("date"))
+    age = F.when(epoch == 0, 1).otherwise(-epoch)
     ref = F.concat(F.when(F.col("type") == "commit", "0").otherwise("1"),
                    F.coalesce("sha", F.lpad(F.col("id").cast("string"), 20, "0")))
-    confirmed = F.col("confidence") == "match"
-    commit = F.col("type") == "commit"
-    with_fixes = heading.join(parts.fixes.groupBy("category").agg(
-        F.bool_or(~confirmed).alias("any_possible")), "category")
-    examples = detail(wide, 10, F.concat(
-        F.when(F.col("example_error") != "", F.concat(F.lit("- **Example error:** `"),
-               clip(F.col("example_error"), 200, 200), F.lit("`\n"))).otherwise(""),
-        F.when(F.col("example_summary") != "", F.concat(F.lit("- **Example summary:** "),
-               clip(F.col("example_summary"), 600, 600), F.lit("\n"))).otherwise(""),
-        F.lit("\n| Run ID | Branch | Date | Jobs Failed |\n|--------|--------|------|-------------|")))
-    run_line = F.concat(F.lit("| ["), F.col("run_id"), F.lit("]("), F.col("run_url"), F.lit(") | "),
-                        clip(F.col("branch"), 40, 37), F.lit(" | "), F.col("date"), F.lit(" | "),
-                        F.col("jobs_failed").cast("string"), F.lit(" |"))
-    run_rows = detail(parts.affected.join(heading, "category"), 11, run_line, -F.col("epoch"), F.col("run_id"))
-    closing = detail(heading, 12, empty)
+    confirmed, commit = F.col("confidence") == "match", F.col("type") == "commit"
+    examples = detail(cats, 8, F.concat(
+        part(F.col("example_error") != "", F.lit("- error: `"), clip(F.col("example_error"), 200, 200), F.lit("`\n")),
+        part(F.col("example_summary") != "", F.lit("- summary: "), clip(F.col("example_summary"), 600, 600), F.lit("\n")),
+        F.lit("\n" + head_of("Run", "Branch", "Day", "Failed jobs"))))
+
+    def link() -> Column:
+        return F.concat(F.lit("["), F.col("run_id").cast("string"), F.lit("]("), F.col("run_url"), F.lit(")"))
 
+    run_rows = detail(parts.affected.join(heading, "category"), 9,
+                      cells(link(), clip(F.col("branch"), 40, 37), F.col("date"), text("jobs_failed")), -F.col("epoch"), F.col("run_id"))
     open_runs = parts.unfinished
-    unfinished_head = _rows(open_runs.agg(F.count("*").alias("n")).where(F.col("n") > 0), 5, zero, zero, 0, zero, empty,
-                            F.lit("---\n\n## Unfinished Runs\n\n| Run ID | Status |\n|--------|--------|"))
-    unfinished_rows = _rows(open_runs, 5, F.lit(1), F.col("status_rank"), 0, zero, F.col("run_id").cast("string"),
-                            F.concat(F.lit("| ["), F.col("run_id").cast("string"), F.lit("]("), F.col("run_url"),
-                                     F.lit(") | "), F.col("status"), F.lit(" |")))
     pieces = [
         head, present, summary, total, opening,
-        detail(long_ids, 1, F.concat(F.lit("  - "), F.col("test_id")), key=F.col("test_id")),
-        detail(long_subs, 2, F.concat(F.lit("  - "), F.col("subcategory")), key=F.col("subcategory")),
-        detail(with_fixes, 3, F.lit("- **Fix(-es):**")),
+        *[detail(values.where(F.col("kind") == kind), item, F.concat(F.lit(f"  - {label}: "), F.col("value")), key=F.col("value"))
+          for item, kind, label in ((1, "test_id", "test"), (2, "subcategory", "subcategory"))],
+        detail(cats.where("matches > 0"), 3, F.lit("- fixes:")),
         detail(fix_rows.where(confirmed & commit), 4, fix_line, age, ref),
         detail(fix_rows.where(confirmed & ~commit), 5, fix_line, age, ref),
-        detail(with_fixes.where("any_possible"), 6, F.lit("  <details><summary>Possible fixes</summary>\n")),
-        detail(fix_rows.where(~confirmed & commit), 7, fix_line, age, ref),
-        detail(fix_rows.where(~confirmed & ~commit), 8, fix_line, age, ref),
-        detail(with_fixes.where("any_possible"), 9, F.lit("  </details>")),
-        examples, run_rows, closing, unfinished_head, unfinished_rows]
+        detail(cats.where("possible > 0"), 6, F.lit("- possible fixes:")),
+        detail(fix_rows.where(~confirmed), 7, fix_line, age, ref),
+        examples, run_rows, detail(heading, 10, empty),
+        _rows(open_runs.agg(F.count("*").alias("n")).where(F.col("n") > 0), 5, zero, zero, 0, zero, empty,
+              F.lit("## Runs without a verdict\n\n" + head_of("Run", "Status"))),
+        _rows(open_runs, 5, F.lit(1), F.col("status_rank"), 0, zero, F.col("run_id").cast("string"), cells(link(), F.col("status")))]
     lines = pieces[0]
     for piece in pieces[1:]:
         lines = lines.unionByName(piece)
     return lines
 
 
-def _oversized(values: DataFrame, kind: str, counted: DataFrame, name: str, limit: int) -> DataFrame:
-    """The entries of lists above the inline limit."""
-    large = counted.where(F.col(f"n_{name}") > limit).select("category")
-    return _values(values, kind).join(large, "category")
-
-
 def summary_text(totals: DataFrame, categories: DataFrame) -> DataFrame:
     """Two or three plain sentences: totals and the one or two most frequent root causes."""
     top = (categories.orderBy(F.desc("runs"), "first_pos").limit(2)

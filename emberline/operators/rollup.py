@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from emberline.functions import categories as cat
 from emberline.functions.dates import utc_epoch
 from emberline.functions.text import clip, strip
-from emberline.operators.ordering import bounded_lists
 
 
 def done_rows(classified: DataFrame) -> DataFrame:
@@ -101,16 +100,11 @@ def category_subcategories(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("subcategory") != "").select("category", "subcategory").distinct()
 
 
-def value_lists(values: DataFrame, limit: int) -> DataFrame:
-    """Counts and bounded lists of test ids and subcategories, one row per category."""
-    lists = bounded_lists(values, ["category", "kind"], F.col("value"), None, "items", limit)
-
-    def of(kind: str, column: str):
-        return F.max(F.when(F.col("kind") == kind, F.col(column)))
-
-    return lists.groupBy("category").agg(
-        of("test_id", "n_items").alias("n_test_ids"), of("test_id", "items").alias("test_ids"),
-        of("subcategory", "n_items").alias("n_subcategories"), of("subcategory", "items").alias("subcategories"))
+def value_counts(values: DataFrame) -> DataFrame:
+    """Number of test ids and subcategories of each category."""
+    return values.groupBy("category").agg(
+        F.count_if(F.col("kind") == "test_id").alias("n_test_ids"),
+        F.count_if(F.col("kind") == "subcategory").alias("n_subcategories"))
 
 
 def run_verdict_rows(done: DataFrame) -> DataFrame:

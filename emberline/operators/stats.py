@@ -88,8 +88,9 @@ def execution_stats(phases: DataFrame, events: DataFrame, model: str, version: s
     metrics = classifier_metrics(phases).agg(
         F.struct(dist(METRICS[0]).alias("turns"), dist(METRICS[1]).alias("duration_ms")).alias("classify_phase"),
         F.struct(dist(METRICS[2]).alias("turns"), dist(METRICS[3]).alias("duration_ms")).alias("recheck_phase"))
-    tools = tool_counts(events).groupBy("tool").agg(F.sum("calls").alias("calls")).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("calls")).alias("rank"), "tool"))).alias("t")) \
+    merged = tool_counts(events).groupBy("tool").agg(F.sum("calls").alias("calls"), F.min("first_event").alias("seen"))
+    tools = merged.agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("calls")).alias("rank"), "seen", "tool"))).alias("t")) \
         .select(F.map_from_entries(F.transform("t", lambda e: F.struct(e["tool"], -e["rank"]))).alias("tool_calls"))
     row = agent_totals(phases).crossJoin(metrics).crossJoin(tools).select(
         F.lit(model).alias("model"), F.lit(version).alias("engine_version"),
@@ -117,20 +118,27 @@ def quality_signals(phases: DataFrame, verdicts: DataFrame, runs: DataFrame) ->
                     "unclear_runs", "unfinished_runs"))
 
 
-def quality_trend(run_rows: DataFrame, verdicts: DataFrame, periods: int) -> DataFrame:
-    """Per month: unclear, unfinished and failed analyses, change to the month before and
-    the average of the `periods` months before. The window sees one row per month."""
-    monthly = (run_rows.join(verdicts.select("run_id", "verdict"), "run_id", "left")
+TREND = ("unclear_runs", "unfinished_runs", "agent_error_rate", "turns")
+
+
+def quality_trend(run_rows: DataFrame, verdicts: DataFrame, phases: DataFrame, periods: int) -> DataFrame:
+    """Per month the unclear and unfinished runs, the share of analysed runs whose agent failed
+    in any phase and the turns taken; each with its change to the month before and its average
+    over up to `periods` months before. The window sees one row per month."""
+    agents = phases.groupBy("run_id").agg(F.bool_or("is_error").alias("agent_failed"), F.sum("turns").alias("turns"))
+    monthly = (run_rows.join(verdicts.select("run_id", "verdict"), "run_id", "left").join(agents, "run_id", "left")
                .groupBy(F.date_format("created_at", "yyyy-MM").alias("period"))
                .agg(F.count("*").alias("runs"),
                     F.count_if(F.col("verdict") == "unclear").alias("unclear_runs"),
                     F.count_if(F.col("status").isin("pending", "error")).alias("unfinished_runs"),
-                    F.count_if(F.col("status") == "error").alias("error_runs")))
+                    F.count("agent_failed").alias("agents"), F.count_if("agent_failed").alias("errors"),
+                    F.coalesce(F.sum("turns"), F.lit(0)).alias("turns"))
+               .withColumn("agent_error_rate", one_decimal(F.col("errors") * 100, F.col("agents"))).drop("errors"))
     ordered = Window.orderBy("period")
     before = ordered.rowsBetween(-periods, -1)
+    # tenths, so that the averages are taken over whole numbers
+    tenths = {c: F.round(F.col(c) * 10).cast("bigint") for c in TREND}
     return monthly.select(
-        "period", "runs", "unclear_runs", "unfinished_runs",
-        one_decimal(F.col("error_runs") * 100, F.col("runs")).alias("error_rate"),
-        (F.col("unfinished_runs") - F.lag("unfinished_runs").over(ordered)).alias("unfinished_change"),
-        one_decimal(F.sum("unfinished_runs").over(before), F.count("unfinished_runs").over(before))
-        .alias("unfinished_before"))
+        "period", "runs", "agents", *TREND,
+        *[F.round(F.col(c) - F.lag(c).over(ordered), 1).alias(f"{c}_change") for c in TREND],
+        *[one_decimal(F.sum(tenths[c]).over(before), F.count(c).over(before) * 10).alias(f"{c}_before") for c in TREND])

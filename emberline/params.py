@@ -17,7 +17,6 @@ SYSTEMIC_SHARE = 0.9     # share of a run's jobs that makes one signature system
 SYSTEMIC_MIN_JOBS = 2
 CLUSTER_JACCARD = 0.8    # word-set similarity that makes two errors one root cause
 GREP_CONTEXT = 5         # lines kept around a hit
-GREP_HEAD = 20           # hits kept per job
 
 # Parameters of the registered queries.
 REFERENCE_DATE = "2001-08-01"
@@ -27,9 +26,7 @@ WORKFLOWS = ["ci.yaml", "e2e.yaml"]
 SKIP_JOBS = ["job-7"]
 RUN_IDS = [0, 1, 2, 3, 7, 11, 13, 22, 1000, 4999, 12001, 99999999]
 REPOSITORY = "example/shop"
+GIT_BASE = "https://git.example.com"
 
-# A per-category list is nested into one row only up to this many entries.
-# Larger ones stay whole in the flat tables (one row per entry).
-INLINE_LIST_MAX = 1000
-# A run with more jobs than this is written as several blocks of the same run id.
-BLOCK_JOBS_MAX = 10000
+# Jobs of one run that one block of a run document holds; a longer run has several blocks in job order.
+BLOCK_JOBS = 10000

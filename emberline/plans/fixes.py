@@ -24,7 +24,7 @@ def search_tokens(spark, sf):
 
 
 def _commit_matches(spark, sf):
-    found = correlate.commit_candidates(inputs.commit_candidates(spark, sf), params.REPOSITORY)
+    found = correlate.commit_candidates(inputs.commit_candidates(spark, sf), params.GIT_BASE, params.REPOSITORY)
     return inputs.matches(spark, sf, found)
 
 

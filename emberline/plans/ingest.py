@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from emberline import params
 from emberline.operators import history
+from emberline.operators.ordering import with_position
 from emberline.plans.inputs import FAILED, failed_jobs, failed_runs, with_iso
 from emberline.session import staging_path
 from emberline.sinks.writers import write_failed_jobs
@@ -74,15 +75,15 @@ def capped_runs(spark, sf):
 
 
 def dedup_runs(spark, sf):
-    runs = history.collect_runs(adapter.runs(spark, sf, FAILED), WORKFLOWS, BRANCHES, params.RUN_CAP)
-    return with_iso(runs.select("run_id", "branch", "workflow", "conclusion", "created_at",
-                                F.col("source_rank.list").cast("bigint").alias("list_no"))
-                    .orderBy(F.desc("created_at"), "run_id"))
+    runs = history.collect_runs(adapter.runs(spark, sf, FAILED), WORKFLOWS, BRANCHES)
+    listed = runs.select("run_id", "branch", "workflow", "conclusion", "created_at",
+                         F.col("source_rank.list").cast("bigint").alias("list_no"))
+    return with_iso(with_position(listed, [F.desc("created_at"), F.col("run_id")], "position"))
 
 
 def runs_union_ids(spark, sf):
     listed = history.lookback(
-        history.collect_runs(adapter.runs(spark, sf, FAILED), None, BRANCHES, params.RUN_CAP).drop("source_rank"),
+        history.collect_runs(adapter.runs(spark, sf, FAILED), None, BRANCHES).drop("source_rank"),
         params.REFERENCE_DATE, params.LOOKBACK_DAYS)
     named = history.by_ids(adapter.runs(spark, sf, FAILED), params.RUN_IDS)
     return with_iso(history.union_first(listed, named).select("run_id", "branch", "created_at"))
@@ -96,7 +97,7 @@ def csv_roundtrip(spark, sf):
     path = staging_path(spark, "failed-jobs")
     rows = failed_jobs(spark, sf).withColumn("pos", F.struct("run_id", "job_seq", "job_id"))
     write_failed_jobs(rows, path)
-    return read_failed_jobs(spark, path)
+    return with_position(read_failed_jobs(spark, path), [F.col("pos")], "position").drop("pos")
 
 
 QUERIES = {

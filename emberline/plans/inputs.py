@@ -63,7 +63,7 @@ def pull_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate.commit_candidates(commit_candidates(spark, sf), params.REPOSITORY).unionByName(
+    return correlate.commit_candidates(commit_candidates(spark, sf), params.GIT_BASE, params.REPOSITORY).unionByName(
         correlate.pull_request_candidates(pull_requests(spark, sf)))
 
 

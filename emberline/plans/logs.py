@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from emberline import params
 from emberline.functions import categories as cat
 from emberline.functions.text import clean_log
-from emberline.operators import convergence, signals, verdicts
+from emberline.operators import convergence, rollup, signals, verdicts
 from emberline.plans.inputs import FAILED, categories, failed_runs, signal_jobs
 from emberline.sources import adapter
 
@@ -31,11 +31,11 @@ def normalize_errors(spark, sf):
 
 
 def extract_test_ids(spark, sf):
-    return signals.job_signals(adapter.log_lines(spark, sf)).select("run_id", "job_id", "test_id", "test_file")
+    return signals.failing_tests(adapter.log_lines(spark, sf))
 
 
 def grep_context(spark, sf):
-    return signals.grep(adapter.log_lines(spark, sf), r"--- FAIL:|timed out", params.GREP_HEAD, 1)
+    return signals.grep(adapter.log_lines(spark, sf), r"--- FAIL:|timed out")
 
 
 def drop_aggregation_jobs(spark, sf):
@@ -78,10 +78,46 @@ def systemic_failures(spark, sf):
     return verdicts.systemic_signatures(signal_jobs(spark, sf), found)
 
 
+def _classify(spark, sf):
+    """The logs are read once and the jobs once: both are evidence in several ways."""
+    found = signals.job_signals(adapter.log_lines(spark, sf)).checkpoint()
+    jobs = adapter.jobs(spark, sf).select("run_id", "job_id", "job_seq", "job_name", "conclusion", "steps").checkpoint()
+    return verdicts.classify(adapter.runs(spark, sf), jobs, found, adapter.commit_files(spark, sf))
+
+
 def classify_failures(spark, sf):
-    found = signals.job_signals(adapter.log_lines(spark, sf))
-    return verdicts.classify(adapter.runs(spark, sf), adapter.jobs(spark, sf), found,
-                             adapter.commit_files(spark, sf)).drop("job_seq")
+    return _classify(spark, sf).drop("job_seq")
+
+
+def _from_logs(spark, sf):
+    """Runs, jobs and logs through signals, verdicts and convergence: done rows under the winning names."""
+    run_side = failed_runs(spark, sf).select("run_id", "run_url", "branch", "created_at",
+                                             adapter.iso(F.col("created_at")).alias("run_started_at"))
+    test = F.when(F.col("test_id") != "", F.concat(F.lit(" in "), F.col("test_id"))).otherwise("")
+    rows = (_classify(spark, sf).join(run_side, "run_id").withColumn("pos", adapter.position())
+            .withColumn("failed_test", F.col("test_id"))
+            .withColumn("summary", F.concat(F.col("job_name"), test, F.lit(": "), F.col("reason")))
+            .checkpoint())
+    named = rows.withColumn("category", cat.list_category(F.col("category")))
+    errors = rollup.rollup(rollup.category_runs(named)).select(
+        F.col("category").alias("name"), "runs", F.col("example_error").alias("error")).checkpoint()
+    clustered = convergence.clusters(errors.select("name", "error"), int(params.CLUSTER_JACCARD * 100))
+    return convergence.renamed(rows, convergence.winners(errors.select("name", "runs"), clustered))
+
+
+def renamed_categories(spark, sf):
+    return _from_logs(spark, sf).select("run_id", "job_id", "category", "is_flake", "failed_test", "summary", "status")
+
+
+def pipeline_report(spark, sf):
+    """Report rows that start from the logs: one per winning name."""
+    rows = _from_logs(spark, sf).withColumn("full_category", F.col("category")).withColumn(
+        "category", cat.list_category(F.col("category"))).checkpoint()
+    subs = rows.where(F.length("full_category") > F.length("category")).select("category", "full_category").distinct()
+    counted = subs.groupBy("category").agg(F.count("*").alias("n_subcategories"))
+    return rollup.rollup(rollup.category_runs(rows)).join(counted, "category", "left").select(
+        "category", "flake", "runs", "jobs", "example_error", "example_summary", "first_started_at", "last_started_at",
+        F.coalesce("n_subcategories", F.lit(0)).alias("n_subcategories"))
 
 
 def _errors(spark, sf):
@@ -110,5 +146,5 @@ QUERIES = {
     "branch_history_short": branch_history_short, "cascade_cancel": cascade_cancel,
     "commit_touches_test": commit_touches_test, "systemic_failures": systemic_failures,
     "classify_failures": classify_failures, "similar_errors": similar_errors,
-    "converge_categories": converge_categories,
+    "converge_categories": converge_categories, "renamed_categories": renamed_categories, "pipeline_report": pipeline_report,
 }

@@ -140,7 +140,7 @@ SELECT j.run_id, j.job_id, framework < 5 AS ran_test, p_type = 'SMALL' AND NOT s
     ELSE 'fatal: out of memory (killed)' END AS signature,
   CASE p_type WHEN 'STANDARD' THEN 'context-deadline-exceeded-after-s' WHEN 'ECONOMY' THEN 'dial-tcp-connection-refused'
     WHEN 'PROMO' THEN 'panic-runtime-error-nil-pointer-dereference'
-    WHEN 'SMALL' THEN 'src-part-go-undefined-newpartclient' WHEN 'MEDIUM' THEN 'timed-out-waiting-for-device-dev'
+    WHEN 'SMALL' THEN 'src-part-go-undefined-newpartclient' WHEN 'MEDIUM' THEN 'timed-out-waiting-for-device-dev-part-after-s'
     ELSE 'fatal-out-of-memory-killed' END AS slug,
   CASE framework WHEN 0 THEN CAST(10000 + j.partkey % 97 AS VARCHAR) WHEN 1 THEN 'TestPart' || (j.partkey % 89)
     WHEN 2 THEN 'tests/test_part.py::TestPart::test_case_' || (j.partkey % 83)
@@ -182,10 +182,10 @@ SELECT category, token, arg_max(kind, (weight, kind)) AS kind, CAST(max(weight)
 # Every category against every candidate: the definition, without candidate selection.
 _MATCH = """
 SELECT category, ref, date, title, CASE WHEN strong IS NOT NULL THEN 'match' ELSE 'possible' END AS confidence,
-  weak_hits, CAST(coalesce(strong, 2) + CASE WHEN action THEN 1 ELSE 0 END AS BIGINT) AS weight
+  weak_hits, CAST(coalesce(strong, weak) + CASE WHEN action THEN 1 ELSE 0 END AS BIGINT) AS weight
 FROM (
   SELECT t.category, c.ref, c.date, c.title, max(weight) FILTER (kind IN ('test_id', 'slug')) AS strong,
-    CAST(count(*) FILTER (kind IN ('component', 'error')) AS BIGINT) AS weak_hits,
+    max(weight) FILTER (kind IN ('component', 'error')) AS weak, CAST(count(*) FILTER (kind IN ('component', 'error')) AS BIGINT) AS weak_hits,
     any_value(len(list_intersect(c.ws, ['fix','flake','flaky','deflake','retry','timeout'])) > 0) AS action
   FROM terms t JOIN cats k ON t.category = k.category
   JOIN (SELECT {ref} AS ref, {date} AS date, {title} AS title,

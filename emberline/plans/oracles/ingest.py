@@ -12,12 +12,12 @@ _LISTED = """
   SELECT run_id, branch, workflow, conclusion, created_at, created_ts, list_no, s, w FROM (
     SELECT *, CASE branch WHEN 'main' THEN 0 ELSE 1 END AS list_no,
       row_number() OVER (PARTITION BY conclusion, {stream} branch ORDER BY created_ts DESC, run_id) AS rn
-    FROM candidates WHERE branch IN ('main', 'develop')) WHERE rn <= 200
+    FROM candidates WHERE branch IN ('main', 'develop'))
   UNION ALL
   SELECT run_id, branch, workflow, conclusion, created_at, created_ts, 2, s, w FROM (
     SELECT *, row_number() OVER (PARTITION BY conclusion {queue} ORDER BY created_ts DESC, run_id) AS rn
     FROM candidates WHERE event = 'merge_group')
-  WHERE rn <= 200 AND (starts_with(branch, 'gh-readonly-queue/main/') OR starts_with(branch, 'gh-readonly-queue/develop/'))"""
+  WHERE (starts_with(branch, 'gh-readonly-queue/main/') OR starts_with(branch, 'gh-readonly-queue/develop/'))"""
 
 
 def _collected(columns: str, by_workflow: bool) -> str:
@@ -52,7 +52,8 @@ ORACLES = {
     "capped_runs": compose("""SELECT run_id, conclusion, workflow, branch, created_at FROM (
         SELECT *, row_number() OVER (PARTITION BY conclusion, workflow, branch ORDER BY created_ts DESC, run_id) AS rn
         FROM bad_runs WHERE branch IN ('main', 'develop')) WHERE rn <= 200"""),
-    "dedup_runs": compose(_collected("run_id, branch, workflow, conclusion, created_at, CAST(list_no AS BIGINT) AS list_no", True)),
+    "dedup_runs": compose(_collected("""run_id, branch, workflow, conclusion, created_at, CAST(list_no AS BIGINT) AS list_no,
+        row_number() OVER (ORDER BY created_ts DESC, run_id) AS position""", True)),
     "runs_union_ids": compose(f"""SELECT run_id, branch, created_at FROM ({_collected('run_id, branch, created_at, created_ts', False)})
         WHERE created_ts >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY
         UNION SELECT run_id, branch, created_at FROM bad_runs WHERE run_id IN {_IDS}"""),
@@ -62,5 +63,6 @@ ORACLES = {
         arg_min(failed_job_name, (job_seq, job_id)) AS first_job FROM fact GROUP BY run_id"""),
     "csv_roundtrip": compose("""SELECT CAST(run_id AS VARCHAR) AS run_id, run_url, branch, event, commit_sha,
         failed_job_name, job_conclusion, run_started_at, job_completed_at,
-        CAST(run_attempt AS VARCHAR) AS run_attempt, failure_step FROM fact"""),
+        CAST(run_attempt AS VARCHAR) AS run_attempt, failure_step,
+        row_number() OVER (ORDER BY run_started_at DESC, fact.run_id, job_seq, job_id) AS position FROM fact"""),
 }

@@ -67,7 +67,34 @@ links AS (SELECT a.name AS x, b.name AS y FROM errs a JOIN errs b ON a.name <> b
 reach(x, y) AS (SELECT name, name FROM errs UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
 grouped AS (SELECT e.name, e.runs, min(r.y) AS cluster FROM errs e JOIN reach r ON r.x = e.name GROUP BY e.name, e.runs)"""
 
+# From the logs to renamed rows: names, their errors, clusters of similar errors and the winner of each.
+_RENAMED = f"""
+judged AS ({_CLASSIFY}),
+rows_ AS (SELECT c.*, array_to_string(string_split(c.category, '/')[:2], '/') AS name, r.created_ts, r.created_at AS run_started_at,
+    c.job_name || CASE WHEN c.test_id <> '' THEN ' in ' || c.test_id ELSE '' END || ': ' || c.reason AS summary,
+    row_number() OVER (ORDER BY r.created_ts DESC, c.run_id, j.job_seq, j.job_id) AS pos
+  FROM judged c JOIN bad_runs r ON r.run_id = c.run_id JOIN bad_jobs j ON j.run_id = c.run_id AND j.job_id = c.job_id),
+errs AS (SELECT name, count(DISTINCT run_id) AS runs,
+    {_WORDS.format(text="coalesce(arg_min(error_message, pos) FILTER (error_message <> ''), '')")} AS ws FROM rows_ GROUP BY name),
+links AS (SELECT a.name AS x, b.name AS y FROM errs a JOIN errs b ON a.name <> b.name AND len(a.ws) > 0 AND len(b.ws) > 0
+          AND {_PAIR.format(percent=80)}),
+reach(x, y) AS (SELECT name, name FROM errs UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+grouped AS (SELECT e.name, e.runs, min(r.y) AS cluster FROM errs e JOIN reach r ON r.x = e.name GROUP BY e.name, e.runs),
+won AS (SELECT name, first_value(name) OVER (PARTITION BY cluster ORDER BY runs DESC, name) AS winner FROM grouped),
+final AS (SELECT r.* EXCLUDE (category), w.winner || substr(r.category, length(r.name) + 1) AS category, w.winner
+  FROM rows_ r JOIN won w ON w.name = r.name)"""
+
 ORACLES = {
+    "renamed_categories": compose("""SELECT run_id, job_id, category, is_flake, test_id AS failed_test, summary, 'done' AS status FROM final""",
+                                  _RENAMED),
+    "pipeline_report": compose("""SELECT winner AS category,
+        CASE WHEN count(*) = count(*) FILTER (is_flake = 'yes') THEN 'yes' WHEN count(*) = count(*) FILTER (is_flake = 'no') THEN 'no'
+          ELSE 'mixed' END AS flake,
+        CAST(count(DISTINCT run_id) AS BIGINT) AS runs, CAST(count(*) AS BIGINT) AS jobs,
+        coalesce(arg_min(error_message, pos) FILTER (error_message <> ''), '') AS example_error,
+        coalesce(arg_min(summary, pos) FILTER (summary <> ''), '') AS example_summary,
+        min(run_started_at) AS first_started_at, max(run_started_at) AS last_started_at,
+        CAST(count(DISTINCT category) FILTER (category <> winner) AS BIGINT) AS n_subcategories FROM final GROUP BY winner""", _RENAMED),
     "log_lines": compose("SELECT run_id, job_id, line_no, text FROM log"),
     "log_line_counts": compose("SELECT run_id, job_id, CAST(count(*) AS BIGINT) AS lines FROM log GROUP BY run_id, job_id"),
     "failure_markers": compose("""SELECT run_id, job_id, line_no, framework, kind FROM (
@@ -81,10 +108,10 @@ ORACLES = {
         FROM bad_jobs j JOIN parts p ON p.partkey = j.partkey WHERE NOT (framework = 5 AND suppkey % 3 = 0))"""),
     "normalize_errors": compose("""SELECT run_id, job_id, line_no, trim(replace(replace(text[22:],
         chr(27) || '[31m', ''), chr(27) || '[0m', '')) AS error_text FROM log"""),
-    "extract_test_ids": compose("SELECT run_id, job_id, test_id, test_file FROM sig"),
+    "extract_test_ids": compose("SELECT run_id, job_id, test_id, test_file FROM sig WHERE test_id <> ''"),
     "grep_context": compose("""SELECT l.run_id, l.job_id, l.line_no, bool_or(h.line_no = l.line_no) AS is_hit, l.text
         FROM log l JOIN (SELECT run_id, job_id, line_no FROM log WHERE contains(text, '--- FAIL:') OR contains(text, 'timed out')) h
-          ON h.run_id = l.run_id AND h.job_id = l.job_id AND abs(h.line_no - l.line_no) <= 1 GROUP BY ALL"""),
+          ON h.run_id = l.run_id AND h.job_id = l.job_id AND abs(h.line_no - l.line_no) <= 5 GROUP BY ALL"""),
     "drop_aggregation_jobs": compose("""SELECT run_id, job_id, conclusion FROM bad_jobs
         WHERE conclusion = 'cancelled' OR NOT (framework = 5 AND suppkey % 3 = 0)"""),
     "compose_category": compose("""SELECT run_id, job_id, CASE WHEN build THEN 'build-error/' || slug

@@ -12,13 +12,9 @@ def _clip(limit: int, keep: int, name: str) -> str:
 
 ORACLES = {
     "category_rollup": compose(f"""SELECT c.category, flake, runs, jobs, example_error, example_summary,
-        CAST(coalesce(n_t, 0) AS BIGINT) AS n_test_ids, coalesce(ts, '') AS test_ids,
-        CAST(coalesce(n_s, 0) AS BIGINT) AS n_subcategories, coalesce(ss, '') AS subcategories, {_LAST} AS last_occurred
-        FROM cats c
-        LEFT JOIN (SELECT category, count(*) AS n_t, string_agg(test_id, ', ' ORDER BY test_id) AS ts
-                   FROM cat_tests GROUP BY category) t ON t.category = c.category
-        LEFT JOIN (SELECT category, count(*) AS n_s, string_agg(subcategory, ', ' ORDER BY subcategory) AS ss
-                   FROM (SELECT DISTINCT category, subcategory FROM valid WHERE subcategory <> '') GROUP BY category) s
+        CAST(coalesce(n_t, 0) AS BIGINT) AS n_test_ids, CAST(coalesce(n_s, 0) AS BIGINT) AS n_subcategories, {_LAST} AS last_occurred
+        FROM cats c LEFT JOIN (SELECT category, count(*) AS n_t FROM cat_tests GROUP BY category) t ON t.category = c.category
+        LEFT JOIN (SELECT category, count(DISTINCT subcategory) AS n_s FROM valid WHERE subcategory <> '' GROUP BY category) s
           ON s.category = c.category"""),
     "flake_status": compose("SELECT category, flake FROM cats"),
     "run_verdicts": compose("SELECT run_id, jobs, verdict FROM verdicts"),

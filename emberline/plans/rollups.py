@@ -20,17 +20,12 @@ def _reference():
 
 
 def category_rollup(spark, sf):
-    """One report row per category; the joined lists hold at most INLINE_LIST_MAX entries."""
+    """One report row per category; its test ids and subcategories are rows of their own queries."""
     rows = valid(spark, sf)
-    lists = rollup.value_lists(rollup.category_values(rows), params.INLINE_LIST_MAX)
-
-    def listed(name):
-        return F.coalesce(F.array_join(name, ", "), F.lit("")).alias(name)
-
-    return (rollup.rollup(rollup.category_runs(rows)).join(lists, "category", "left")
+    counts = rollup.value_counts(rollup.category_values(rows))
+    return (rollup.rollup(rollup.category_runs(rows)).join(counts, "category", "left")
             .select("category", "flake", "runs", "jobs", "example_error", "example_summary",
-                    F.coalesce("n_test_ids", F.lit(0)).alias("n_test_ids"), listed("test_ids"),
-                    F.coalesce("n_subcategories", F.lit(0)).alias("n_subcategories"), listed("subcategories"),
+                    *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_test_ids", "n_subcategories")],
                     relative_date(F.col("last_started_at"), _reference()).alias("last_occurred")))
 
 

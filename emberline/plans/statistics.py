@@ -46,7 +46,7 @@ def quality_signals(spark, sf):
 
 
 def quality_trend(spark, sf):
-    return stats.quality_trend(inputs.failed_runs(spark, sf), inputs.verdicts(spark, sf), 3)
+    return stats.quality_trend(inputs.failed_runs(spark, sf), inputs.verdicts(spark, sf), inputs.phases(spark, sf), 3)
 
 
 def _parts(spark, sf):

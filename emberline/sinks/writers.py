@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.params import BLOCK_JOBS_MAX, FAILED_JOB_COLUMNS
+from emberline.params import BLOCK_JOBS, FAILED_JOB_COLUMNS
 
 CSV_ROWS_PER_FILE = 500_000
 
@@ -14,11 +14,12 @@ def write_failed_jobs(rows: DataFrame, path: str) -> None:
     """Newest run first, fixed column order. `rows` carries its source order in `pos`."""
     (rows.orderBy(F.desc("run_started_at"), "pos").select(*FAILED_JOB_COLUMNS)
      .write.option("maxRecordsPerFile", CSV_ROWS_PER_FILE)
-     .csv(path, header=True, escape='"', mode="overwrite"))
+     .csv(path, header=True, escape='"', mode="overwrite", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
 
 
 # --- run document ------------------------------------------------------------------
 
+# The labels of the interchange format.
 RUN_TEMPLATE = ("status", "run_url", "branch", "event", "run_started_at", "run_attempt", "commit_sha")
 JOB_TEMPLATE = (
     ("job_conclusion", "job_conclusion"), ("step", "step"), ("job_id", "job_id"),
@@ -35,14 +36,11 @@ def block_pieces(jobs: DataFrame) -> DataFrame:
     """Text pieces of the run blocks: (run order, block_no, part, job order, text).
 
     One row per piece instead of one string per run, so a run with very many jobs is never
-    gathered. Such a run is written as several blocks of the same id, each of bounded size;
-    the parsers read them as one run again. Header and footer come from one row per block.
+    gathered. A block holds BLOCK_JOBS consecutive places of its run; the next ones follow in
+    another block of the same id, and `run_fields` makes one run of them again. Header and
+    footer come from one row per block.
     """
-    counts = jobs.groupBy("run_id").agg(F.count("*").alias("_jobs"))
-    blocks = F.ceil(F.col("_jobs") / BLOCK_JOBS_MAX)
-    numbered = jobs.join(counts, "run_id").withColumn(
-        "block_no", F.when(F.col("_jobs") <= BLOCK_JOBS_MAX, F.lit(0))
-        .otherwise(F.pmod(F.xxhash64("job_id"), blocks)).cast("bigint"))
+    numbered = jobs.withColumn("block_no", F.floor(F.col("job_seq") / BLOCK_JOBS).cast("bigint"))
     run_id = F.col("run_id").cast("string")
     heads = numbered.groupBy("run_id", "block_no").agg(
         F.min("created_at").alias("created_at"),

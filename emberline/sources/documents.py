@@ -14,21 +14,30 @@ JOB_FIELDS = (
     ("category", "category"), ("is_flake", "is_flake"), ("test_id", "test-id"),
     ("failed_test", "failed_test"), ("error_message", "error_message"), ("summary", "summary"),
 )
-_JOB_SECTION = r"(?s)#### job: `([^`]+)`(.*?)(?=#### job:|$)"
+JOB_MARK = "#### job:"
 
 
-def run_fields(blocks: DataFrame) -> DataFrame:
-    """Run-level fields come from the part of the block before its first job."""
-    head = F.substring_index("body", "#### job:", 1)
+def block_fields(blocks: DataFrame) -> DataFrame:
+    """The run fields of each block: they stand before its first job. Works on streams."""
+    head = F.substring_index("body", JOB_MARK, 1)
     return blocks.select("pos", "run_id", *[field(head, f).alias(f) for f in RUN_FIELDS])
 
 
+def run_fields(blocks: DataFrame) -> DataFrame:
+    """One row per run, from its first block."""
+    rows = block_fields(blocks).select("run_id", F.struct("pos", *RUN_FIELDS).alias("first"))
+    return rows.groupBy("run_id").agg(F.min("first").alias("first")).select(
+        "first.pos", "run_id", *[f"first.{f}" for f in RUN_FIELDS])
+
+
 def job_rows(blocks: DataFrame) -> DataFrame:
     """One row per job section, in block order, with the fields of its run."""
-    head = F.substring_index("body", "#### job:", 1)
-    names = F.regexp_extract_all("body", F.lit(_JOB_SECTION), 1)
-    bodies = F.regexp_extract_all("body", F.lit(_JOB_SECTION), 2)
-    sections = F.arrays_zip(names.alias("name"), bodies.alias("text"))
+    head = F.substring_index("body", JOB_MARK, 1)
+    pieces = F.split("body", JOB_MARK)
+    # the name stands between the first two back-ticks, which follow one space
+    marked = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda s: F.split(s, "`", 3))
+    named = F.filter(marked, lambda p: (F.size(p) == 3) & (p[0] == " ") & (p[1] != ""))
+    sections = F.transform(named, lambda p: F.struct(p[1].alias("name"), p[2].alias("text")))
     rows = blocks.select(
         "pos", "run_id", *[field(head, f).alias(f) for f in RUN_FIELDS],
         F.posexplode(sections).alias("job_no", "section"))

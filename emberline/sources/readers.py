@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 from emberline.functions.text import strip
 from emberline.params import FAILED_CONCLUSIONS, FAILED_JOB_COLUMNS
 
+# Field names of the interchange files.
 RUN_SCHEMA = T.StructType([
     T.StructField("run_id", T.LongType()), T.StructField("run_url", T.StringType()),
     T.StructField("workflow", T.StringType()), T.StructField("branch", T.StringType()),
@@ -88,22 +91,32 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_failed_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """The failed-job CSV; files of the older layout have no job_conclusion column.
+    """The failed-job CSV with the place `pos` of each row: file, then row.
 
-    Columns are matched by header name. Every value is text and missing means empty.
-    Embedded newlines are legal, so one CSV file is read by one task: the writer keeps
-    its files small.
+    Files of the older layout have no job_conclusion column. Files are read together with those of
+    the same header, so columns are matched by name even if a folder holds both layouts. Every value
+    is text and missing means empty. Embedded newlines are legal, so a file is read by one task;
+    the writer keeps its files small.
     """
-    raw = spark.read.csv(path, header=True, escape='"', multiLine=True)
-    present = set(raw.columns)
-    columns = []
-    for name in FAILED_JOB_COLUMNS:
-        if name == "job_conclusion":
-            value = F.coalesce(F.col(name), F.lit("failure")) if name in present else F.lit("failure")
-        else:
-            value = F.coalesce(F.col(name), F.lit(""))
-        columns.append(value.alias(name))
-    return raw.select(*columns)
+    first = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.monotonically_increasing_id().alias("n"), "value").alias("line"))
+    headers = first.groupBy("file").agg(F.min("line").alias("line")).groupBy("line.value").agg(F.collect_list("file").alias("files"))
+    layouts = [_failed_job_rows(spark, row.files) for row in headers.collect()]
+    if not layouts:
+        return spark.createDataFrame([], "pos STRUCT<file: STRING, row: LONG>, " + ", ".join(f"{c} STRING" for c in FAILED_JOB_COLUMNS))
+    return reduce(DataFrame.unionByName, layouts)
+
+
+def _failed_job_rows(spark: SparkSession, files: list[str]) -> DataFrame:
+    raw = spark.read.csv(files, header=True, escape='"', multiLine=True)
+    default = {"job_conclusion": "failure"}
+
+    def column(name: str):
+        missing = F.lit(default.get(name, ""))
+        return (F.coalesce(F.col(name), missing) if name in raw.columns else missing).alias(name)
+
+    pos = F.struct(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return raw.select(pos.alias("pos"), *[column(name) for name in FAILED_JOB_COLUMNS])
 
 
 def read_commits_tsv(spark: SparkSession, path: str, since: str) -> DataFrame:
@@ -190,10 +203,12 @@ def read_category_section(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_descriptions(lines: DataFrame) -> DataFrame:
     """Bullets with a description; a repeated name keeps its first place and last text."""
-    bullet = r"(?d)^- `([^`]+)`\s*--\s*(.*)"
-    return (lines.select("pos", strip(F.col("value")).alias("line"))
-            .where(F.col("line").rlike(bullet))
-            .select("pos", F.regexp_extract("line", bullet, 1).alias("full_category"),
-                    strip(F.regexp_extract("line", bullet, 2)).alias("description"))
+    parts = F.split(F.col("line"), "`", 3)
+    rest = strip(F.element_at("parts", 3))
+    return (lines.select(strip(F.col("value")).alias("line"), "pos")
+            .where(F.col("line").startswith("- `")).select("pos", parts.alias("parts"))
+            .where((F.size("parts") == 3) & (F.element_at("parts", 2) != "")).where(rest.startswith("--"))
+            .select("pos", F.element_at("parts", 2).alias("full_category"),
+                    strip(F.substring(rest, 3, 2**31 - 1)).alias("description"))
             .groupBy("full_category")
             .agg(F.min("pos").alias("pos"), F.max_by("description", "pos").alias("description")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from emberline.operators.status import latest_status
-from emberline.sources.documents import run_fields
+from emberline.sources.documents import block_fields
 from emberline.sources.readers import BLOCK_START, parse_run_records
 
 
@@ -15,7 +15,7 @@ def document_stream(spark: SparkSession, path: str) -> DataFrame:
     """Run updates from progress documents dropped into a folder."""
     records = spark.readStream.format("text").option("lineSep", BLOCK_START).load(path)
     blocks = parse_run_records(records.withColumn("pos", F.lit(0)))
-    return run_fields(blocks).select("run_id", "status")
+    return block_fields(blocks).select("run_id", "status")
 
 
 def start(updates: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:

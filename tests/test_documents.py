@@ -51,7 +51,7 @@ def test_blocks_and_jobs_of_a_document(spark, tmp_path):
     (tmp_path / "doc.md").write_text(DOCUMENT)
     blocks = readers.read_run_document(spark, str(tmp_path / "doc.md"))
     fields = documents.run_fields(blocks).orderBy("pos").collect()
-    assert [(r.run_id, r.status, r.branch) for r in fields] == [("7", "done", "main"), ("9", "error", ""), ("7", "classified", "")]
+    assert [(r.run_id, r.status, r.branch) for r in fields] == [("7", "done", "main"), ("9", "error", "")]
     jobs = documents.job_rows(blocks).orderBy("pos").collect()
     assert [(j.run_id, j.job_name, j.category, j.is_flake, j.test_id) for j in jobs] == [
         ("7", "one", "", "yes", "T1, T2"), ("7", "two", "bug/x", "", ""), ("7", "three", "bug/y", "", "")]
@@ -71,7 +71,7 @@ def test_text_without_blocks(spark, tmp_path):
 
 
 def test_a_large_run_is_split_and_read_back_whole(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(writers, "BLOCK_JOBS_MAX", 2)
+    monkeypatch.setattr(writers, "BLOCK_JOBS", 2)
     rows = plans._block_input(spark, SF)
     pieces = writers.block_pieces(rows)
     assert pieces.where("part = 1").groupBy("run_id", "block_no").count().count() > rows.select("run_id").distinct().count()
@@ -81,6 +81,21 @@ def test_a_large_run_is_split_and_read_back_whole(spark, tmp_path, monkeypatch):
         rows.select(F.col("run_id").cast("string"), F.col("job_id").cast("string"), "category"))
 
 
+def test_block_size_changes_neither_runs_nor_job_order(spark, tmp_path, monkeypatch):
+    base = plans._block_input(spark, SF).limit(1)
+    rows = base.drop("job_seq", "job_id").crossJoin(spark.range(10_002).select(F.col("id").alias("job_seq"), F.col("id").alias("job_id")))
+    found = []
+    for size in (10_000, 7):
+        monkeypatch.setattr(writers, "BLOCK_JOBS", size)
+        path = str(tmp_path / f"doc{size}")
+        writers.write_run_document(writers.block_pieces(rows), path)
+        blocks = readers.read_run_document(spark, path)
+        jobs = [int(r.job_id) for r in documents.job_rows(blocks).orderBy("pos").select("job_id").collect()]
+        assert jobs == list(range(10_002)) and blocks.count() > 1
+        found.append(values(documents.run_fields(blocks).drop("pos")))
+    assert found[0] == found[1] and len(found[0]) == 1
+
+
 def test_document_order_survives_many_splits(spark, tmp_path):
     rows = plans._block_input(spark, SF)
     writers.write_run_document(writers.block_pieces(rows), str(tmp_path / "doc"))
@@ -103,7 +118,7 @@ def test_csv_quoting_old_layout_and_order(spark, tmp_path):
     back = readers.read_failed_jobs(spark, str(tmp_path / "csv"))
     assert back.count() == fact.count()
     assert values(back.select("failed_job_name").distinct()) == [('say "hi",\nthen go',)]
-    stamps = [r[0] for r in back.select("run_started_at").collect()]
+    stamps = [r[0] for r in back.orderBy("pos").select("run_started_at").collect()]
     assert stamps == sorted(stamps, reverse=True)
     old = ("run_id,run_url,branch,event,commit_sha,failed_job_name,run_started_at,job_completed_at,run_attempt,failure_step\n"
            "1,u,main,push,s,a,2026-02-18T00:00:00Z,,1,\n")
@@ -112,6 +127,21 @@ def test_csv_quoting_old_layout_and_order(spark, tmp_path):
     assert (row.job_conclusion, row.failure_step, row.job_completed_at) == ("failure", "", "")
 
 
+def test_csv_layouts_in_one_folder_and_blanks(spark, tmp_path):
+    folder = tmp_path / "both"
+    folder.mkdir()
+    (folder / "a.csv").write_text("run_id,run_url,branch,event,commit_sha,failed_job_name,run_started_at,job_completed_at,run_attempt,failure_step\n"
+                                  "1,u,main,push,s,a,2026-02-18T00:00:00Z,,1,old step\n")
+    (folder / "b.csv").write_text("run_id,run_url,branch,event,commit_sha,failed_job_name,job_conclusion,run_started_at,job_completed_at,"
+                                  "run_attempt,failure_step\n2,u,main,push,s,  b  ,cancelled,2026-02-19T00:00:00Z,,1,new step\n")
+    back = readers.read_failed_jobs(spark, str(folder))
+    assert values(back, "run_id", "failed_job_name", "job_conclusion", "run_started_at", "failure_step") == [
+        ("1", "a", "failure", "2026-02-18T00:00:00Z", "old step"), ("2", "  b  ", "cancelled", "2026-02-19T00:00:00Z", "new step")]
+    writers.write_failed_jobs(back, str(tmp_path / "again"))
+    again = readers.read_failed_jobs(spark, str(tmp_path / "again")).orderBy("pos")
+    assert [(r.run_id, r.failed_job_name) for r in again.collect()] == [("2", "  b  "), ("1", "a")]
+
+
 def test_logs_are_numbered_across_splits(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()

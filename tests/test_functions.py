@@ -60,7 +60,7 @@ def test_search_words(table):
 
 def test_compose_and_slug(table):
     assert evaluate(table, cat.slug, ["Context deadline exceeded after #s: one two three", "!!"]) == \
-        ["context-deadline-exceeded-after-s-one", ""]
+        ["context-deadline-exceeded-after-s-one-two-three", ""]
     rows = table([("test-flake", "x", False, "T1"), ("test-flake", "x", True, "T1"), ("infra-flake", "x", False, "T1"),
                   ("bug", "x", False, "")], "k STRING, r STRING, s BOOLEAN, t STRING")
     got = [r[0] for r in rows.select(cat.compose(*[F.col(c) for c in "krst"])).collect()]

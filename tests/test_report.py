@@ -1,7 +1,7 @@
 import json
+from collections import Counter
 
 from conftest import values
-from pyspark.sql import functions as F
 
 from emberline.operators import report, status
 from emberline.plans import inputs
@@ -10,27 +10,21 @@ from emberline.plans import statistics as plans
 SF = "/root/testdata/sf0.001"
 
 
-def test_report_folder_is_complete_and_small_lists_are_nested(spark, tmp_path):
+def test_report_folder_is_complete(spark, tmp_path):
     parts = plans._parts(spark, SF)
     report.write(parts, str(tmp_path / "r"), "2001-08-01")
     records = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "r/report_json")).collect()]
-    cats = [r for r in records if "affected_runs" in r]
+    cats = [r for r in records if "n_fixes" in r]
+    runs = [r for r in records if "jobs_failed" in r]
     assert len(cats) == parts.categories.count()
-    assert all(len(c["affected_runs"]) == c["runs"] for c in cats)
-    assert sum(c["jobs"] for c in cats) == inputs.valid(spark, SF).count()
-    assert spark.read.json(str(tmp_path / "r/affected_runs")).count() == sum(c["runs"] for c in cats)
+    assert Counter(r["name"] for r in runs) == Counter({c["name"]: c["runs"] for c in cats})
+    assert sum(c["jobs"] for c in cats) == sum(r["jobs_failed"] for r in runs) == inputs.valid(spark, SF).count()
+    assert sum(c["n_test_ids"] for c in cats) == sum("test_id" in r for r in records)
+    assert sum(c["n_subcategories"] for c in cats) == sum("subcategory" in r for r in records)
+    assert sum(c["n_fixes"] for c in cats) == sum("confidence" in r for r in records)
+    assert spark.read.json(str(tmp_path / "r/affected_runs")).count() == len(runs)
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "r/report_md")).collect())
-    assert text.count("\n### ") >= len(cats) and text.index("### Flakes") < text.index("### Real Failures")
-
-
-def test_small_limit_moves_lists_to_their_own_lines(spark):
-    parts = plans._parts(spark, SF)
-    nested = report.nested_categories(parts, limit=1)
-    assert nested.where(F.col("affected_runs").isNull() & (F.col("runs") > 1)).count() == nested.where("runs > 1").count()
-    lines = report.markdown_lines(parts, "2001-08-01", limit=1)
-    ids = parts.values.where("kind = 'test_id'").groupBy("category").count().where("count > 1").agg(F.sum("count")).first()[0]
-    assert lines.where("section = 4 AND item = 1").count() == ids
-    assert lines.where("section = 4 AND item = 11").count() == parts.affected.count()
+    assert text.count("\n### ") >= len(cats) and text.index("### Flaky causes") < text.index("### Lasting causes")
 
 
 def test_empty_report_only_without_failures(table):

@@ -69,9 +69,3 @@ def test_positions_with_a_hot_group(spark):
     overall = ordering.with_position(rows, [F.col("k"), F.col("id")], "position").orderBy("position").collect()
     assert [r.position for r in overall] == list(range(1, 9001))
     assert [(r.k, r.id) for r in overall] == sorted((r.k, r.id) for r in overall)
-
-
-def test_lists_are_nested_only_up_to_the_limit(table):
-    rows = table([("a", x) for x in "zyx"] + [("b", x) for x in "dcba"], "k STRING, v STRING")
-    got = {r.k: (r.n_items, r["items"]) for r in ordering.bounded_lists(rows, ["k"], F.col("v"), None, "items", 3).collect()}
-    assert got == {"a": (3, ["x", "y", "z"]), "b": (4, None)}
