@@ -78,9 +78,9 @@ QUERIES = {f.__name__: f for f in (
 
 _SYMBOLS = "[" + rules.SYMBOLS.replace("$", "\\$").replace("*", "\\*").replace("|", "\\|") + "]"
 _OP7 = f"""WITH base AS (SELECT doc_id, coalesce(text, '') AS text,
-    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS words,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
-  windows AS (SELECT rowid AS r, unnest(range(1, len(words) - 1)) AS i, unnest(list_transform(range(1, len(words) - 1), i -> [words[i], words[i + 1], words[i + 2]])) AS w
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+  windows AS (SELECT rowid AS r, unnest(range(1, len(words) - 1)) AS i, unnest(list_transform(range(1, len(words) - 1), lambda i: [words[i], words[i + 1], words[i + 2]])) AS w
     FROM (SELECT row_number() OVER () AS rowid, words FROM base) WHERE len(words) > 2),
   repeated AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1),
   covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY r),
