@@ -85,7 +85,7 @@ def _hashes(batches):
         found = []
         for _, texts in blocks(_texts(batch)):
             for text, ends in zip(texts, chunk_ends(texts), strict=True):
-                found += [_short(_digest(text[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                found += [_short(_digest(text[a:b])) for a, b in zip([0, *ends][:-1], ends, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["h"])
 
 
@@ -98,7 +98,7 @@ def shared_sketch(docs: DataFrame) -> np.ndarray:
 def _segments(text: bytes, ends: list[int], bits: np.ndarray):
     """(bytes to encode here) or (chunk, digest, drop_head, drop_tail), in the order of the text."""
     done, out = 0, []
-    cuts = list(zip([0, *ends[:-1]], ends, strict=True))
+    cuts = list(zip([0, *ends][:-1], ends, strict=True))
     digests = [_digest(text[a:b]) for a, b in cuts]
     known = sketch.may_hold(bits, np.array([_short(d) for d in digests], np.int64)).tolist()
     for (a, b), digest, shared in zip(cuts, digests, known, strict=True):
