@@ -69,22 +69,31 @@ def _tree(g, h, n):
 
 
 def _square(g, h, n):
-    """Values per cell of a tree over two features: the best first cut, then each side along the other axis."""
-    best = None
+    """Values per cell of a tree over two features: a cut, then each side along the other axis.
+
+    The first cut is chosen by what all its leaves gain, as a pure interaction shows only in the second cuts.
+    """
+    best = (1e-9 + g.sum() ** 2 / (h.sum() + RIDGE), None, None)
     for axis in (0, 1):
-        first = _split(g.sum(axis=1 - axis), h.sum(axis=1 - axis), n.sum(axis=1 - axis))
-        if first and (best is None or first[0] > best[0]):
-            best = (*first, axis)
+        turned = [x if axis == 0 else x.T for x in (g, h, n)]
+        for place in range(1, len(turned[0])):
+            sides = [[x[side].sum(axis=0) for x in turned] for side in (slice(0, place), slice(place, None))]
+            if min(side[2].sum() for side in sides) < LEAF_ROWS:
+                continue
+            cuts = [_split(*side) for side in sides]
+            gain = sum(side[0].sum() ** 2 / (side[1].sum() + RIDGE) + (cut[0] if cut else 0) for side, cut in zip(sides, cuts, strict=True))
+            if gain > best[0]:
+                best = (gain, axis, (place, [cut and cut[1] for cut in cuts]))
     out = np.zeros_like(g)
-    if best is None:
+    _, axis, found = best
+    if found is None:
         return out
-    _, place, axis = best
-    turned = [x if axis == 0 else x.T for x in (g, h, n, out)]
-    for side in (slice(0, place), slice(place, None)):
+    place, cuts = found
+    turned = [x if axis == 0 else x.T for x in (g, h, out)]
+    for side, cut in zip((slice(0, place), slice(place, None)), cuts, strict=True):
         part = [x[side] for x in turned]
-        cut = _split(*(x.sum(axis=0) for x in part[:3]))
-        for columns in (slice(0, cut[1]), slice(cut[1], None)) if cut else (slice(None),):
-            part[3][:, columns] = _value(part[0][:, columns].sum(), part[1][:, columns].sum())
+        for columns in (slice(0, cut), slice(cut, None)) if cut else (slice(None),):
+            part[2][:, columns] = _value(part[0][:, columns].sum(), part[1][:, columns].sum())
     return out
 
 

@@ -102,7 +102,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     cut = repeats(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(span)).alias("removed"))
     cut = cut.withColumnRenamed("doc_id", "_id")
     base = docs.drop(*ADDED)
-    joined = base.join(cut, base["doc_id"].cast("long") == cut["_id"], "left").drop("_id")
+    joined = base.join(cut, base["doc_id"].cast("long") == cut["_id"], "left").drop(cut["_id"])
     hit = F.col("removed").isNotNull()
     old = F.length("text")
     ends = F.concat(F.transform("removed", lambda r: r["start"]), F.array(old))
