@@ -3,7 +3,9 @@
 Non-negative positive-unlabelled learning: with p the share of toxic texts, the risk of calling an
 unlabelled text toxic is that over unlabelled texts less p times that over toxic ones. Where the
 difference turns negative the model has begun to memorise, and the step goes the other way. The model
-is linear in the presence of words (letters and digits, lower case), with a penalty that leaves most weights at 0.
+is linear in the presence of words (letters and digits, lower case). A first fit, whose penalty leaves most
+weights at 0, chooses the words that speak for toxicity; a second one with a slight penalty weighs these alone, as
+the first penalty would leave texts with a single such word below the threshold.
 
 Null text counts as empty and scores like a text without known words. Repeated rows each get the same
 score, an empty table gives an empty table. Without toxic rows that may teach every score is 0.
@@ -21,8 +23,10 @@ from emberline.llm.params import TOXIC_ROWS, UNLABELLED_ROWS
 from emberline.llm.words import NO_LETTER, Runs, blocks, distinct
 
 #: Words that enter the model: met in so many training texts, and so many words at most.
-LEAST_TEXTS, WORDS_MOST = 4, 100_000
-STEPS, RATE, PENALTY = 400, 0.1, 1e-4
+LEAST_TEXTS, WORDS_MOST = 2, 100_000
+STEPS, RATE = 400, 0.1
+#: Penalties of the fit that chooses words and of the one that weighs them, found on a fold of the rows that may teach.
+CHOICE, WEIGHING = 5e-4, 1e-5
 THRESHOLD = 0.5
 
 
@@ -50,12 +54,15 @@ class Model:
         column = np.searchsorted(words, flat)
         known = (column < len(words)) & (words[np.minimum(column, max(0, len(words) - 1))] == flat) if len(words) else np.zeros(len(flat), bool)
         row, column = row[known], column[known]
-        self._fit(row, column, len(sets), len(toxic), len(words), prior)
-        used = np.flatnonzero(self.weights)
-        self.words, self.weights = words[used], self.weights[used]
-
-    def _fit(self, row, column, n, positive, width, prior):
-        """Proximal Adam on the corrected risk, with the logistic loss."""
+        chosen = self._fit(row, column, len(sets), len(toxic), len(words), prior, CHOICE)[0] > 0
+        place, kept = np.cumsum(chosen) - 1, chosen[column]
+        weights, self.base = self._fit(
+            row[kept], place[column[kept]], len(sets), len(toxic), int(chosen.sum()), prior, WEIGHING)
+        used = np.flatnonzero(weights)
+        self.words, self.weights = words[chosen][used], weights[used]
+
+    def _fit(self, row, column, n, positive, width, prior, penalty):
+        """Weights and constant by proximal Adam on the corrected risk, with the logistic loss."""
         weights, base = np.zeros(width), float(np.log(prior / (1 - prior))) if prior < 1 else 0.0
         first, second = np.zeros(width + 1), np.zeros(width + 1)
         toxic = np.arange(n) < positive
@@ -71,9 +78,9 @@ class Model:
             second = 0.999 * second + 0.001 * whole**2
             move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-6)
             weights, base = weights - move[:-1], base - move[-1]
-            shrink = RATE * PENALTY / (np.sqrt(second[:-1] / (1 - 0.999**step)) + 1e-6)
+            shrink = RATE * penalty / (np.sqrt(second[:-1] / (1 - 0.999**step)) + 1e-6)
             weights = np.sign(weights) * np.maximum(np.abs(weights) - shrink, 0)
-        self.weights, self.base = weights, float(base)
+        return weights, float(base)
 
     def __call__(self, sets: list[np.ndarray]) -> np.ndarray:
         total = np.full(len(sets), self.base)
