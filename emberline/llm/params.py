@@ -35,3 +35,15 @@ MIX_TEMPER = 0.9
 
 #: 64-bit words of the sketch of shared chunks: 8 MB at most.
 SKETCH_WORDS = 1 << 20
+
+#: Keys that hold more than one part in so many of the rows are joined by broadcast; there are fewer than this.
+HOT_KEYS = 1000
+
+#: Codes of vectors: parts of a vector, entries of a codebook, rounds of learning, integers a unit.
+CODE_PARTS, CODE_ENTRIES, CODE_ROUNDS, CODE_SCALE = 16, 64, 2, 256
+
+#: Code points of one stored frame of a text.
+FRAME_CHARS = 32_768
+
+#: Tokens of a packed sequence of conversations, after which the next one begins.
+PACK_TOKENS = 65_536
