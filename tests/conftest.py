@@ -21,7 +21,3 @@ def spark():
 def table(spark):
     """A small table from rows and a DDL schema."""
     return lambda rows, schema: spark.createDataFrame(rows, schema)
-
-
-def values(df, *columns):
-    return sorted(tuple(r[c] for c in (columns or df.columns)) for r in df.collect())

@@ -1,6 +1,6 @@
 import random
 
-from conftest import values
+from helpers import values
 
 from emberline.operators import correlate
 

@@ -1,4 +1,4 @@
-from conftest import values
+from helpers import values
 from pyspark.sql import functions as F
 
 from emberline.operators import history

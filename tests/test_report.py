@@ -1,7 +1,7 @@
 import json
 from collections import Counter
 
-from conftest import values
+from helpers import values
 
 from emberline.operators import report, status
 from emberline.plans import inputs

@@ -2,7 +2,7 @@ import random
 import statistics
 
 import pytest
-from conftest import values
+from helpers import values
 from pyspark.sql import functions as F
 
 from emberline.operators import ordering, stats

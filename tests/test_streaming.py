@@ -1,4 +1,4 @@
-from conftest import values
+from helpers import values
 
 from emberline.streaming import status_table
 
