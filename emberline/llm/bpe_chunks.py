@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from emberline.llm import sketch
 from emberline.llm.encoding import WordUnits, encoder, tokenizer
 from emberline.llm.store import Workspace
-from emberline.llm.words import blocks, run_hashes
+from emberline.llm.words import blocks, rolling_hashes
 
 #: Bytes that the rolling hash sees, and the least, mean and largest size of a chunk.
 WINDOW, LEAST, MEAN, MOST = 32, 256, 512, 8192
@@ -41,7 +41,7 @@ def chunk_ends(texts: list[bytes]) -> list[list[int]]:
     """For each text the ends of its chunks; every end is that of a character."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     last = np.arange(WINDOW, len(data) + 1)
-    rolled = run_hashes(data, last - WINDOW, last, lower=False)
+    rolled = rolling_hashes(data, last - WINDOW, last)
     places = last[(rolled & np.uint64(MEAN - 1)) == 0]
     out, start = [], 0
     for text in texts:

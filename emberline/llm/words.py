@@ -22,8 +22,11 @@ NO_LETTER[0x80:] = NO_LETTER[ord("a"):ord("z") + 1] = NO_LETTER[ord("A"):ord("Z"
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(20_240_601).integers(1, 2**63, 256, dtype=np.uint64)
-_LOWER = _BYTE.copy()
-_LOWER[ord("A"):ord("Z") + 1] = _BYTE[ord("a"):ord("z") + 1]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A"):ord("Z") + 1] += 32
+#: Random values of each byte at each of the first places of a run; those of later places are drawn from them.
+_PLACES = 64
+_PLACED = np.random.default_rng(11).integers(0, 2**64, (_PLACES, 256), dtype=np.uint64)
 _STEP = np.random.default_rng(7).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
 
@@ -92,18 +95,41 @@ class Runs:
         return run_hashes(self.data, self.start, self.end, lower)
 
 
-def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each pair, from prefix sums of a polynomial."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
+def rolling_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A polynomial hash of data[start:end] for each pair, from prefix sums: as cheap for overlapping pairs.
+
+    Good for choosing places only: modulo 2**64 there are long byte strings that differ and hash alike.
+    """
     up, down = powers(len(data) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _BYTE)[data] * up[:-1], out=sums[1:])
+        np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
         value = (sums[end] - sums[start]) * down[start]
         return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each pair: the sum of a random value for each byte and place.
+
+    No place's value follows from another's, so that no pattern of bytes makes different runs hash alike.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = (end - start).astype(np.int64)
+    stop = np.cumsum(size)
+    place = np.arange(stop[-1]) - np.repeat(stop - size, size)
+    byte = data[np.repeat(start, size) + place]
+    if lower:
+        byte = _FOLD[byte]
+    with np.errstate(over="ignore"):
+        value = _PLACED[place & (_PLACES - 1), byte]
+        far = np.flatnonzero(place >= _PLACES)
+        if len(far):
+            value[far] = mix(value[far] + mix((place[far] // _PLACES).astype(np.uint64)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
+        return mix(sums[stop] - sums[stop - size] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def shingles(runs: Runs, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of `size` successive words of each text, sorted, and the bounds of the texts.
 

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from emberline.llm import bpe_chunks, encoding, token_files
+from emberline.llm import bpe_chunks, encoding, minhash, token_files, words
 from emberline.llm.queries import BYTE_TOKENIZER, MERGE_TOKENIZER, tokenizer_path
 from emberline.llm.store import Workspace
 
@@ -87,3 +87,24 @@ def test_token_file_format(spark):
         ids = np.concatenate([np.memmap(f"{p.path}.ids", "<u2", "r", shape=(p.n_tokens,)) for p in parts])
         assert sum(p.n_docs for p in parts) == 2 and [p.base for p in parts][0] == 0
         assert ids.tolist() == [64, 9, 65, 269, 9]
+
+
+def _twins(size):
+    """The Thue-Morse word of this length and its complement, which polynomials modulo 2**64 hash alike."""
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_long_words_that_clash_under_polynomial_hashes(spark, size):
+    a, b = _twins(size)
+    for kind, path in ((encoding.SpacedUnits, BYTE_TOKENIZER), (encoding.WordUnits, MERGE_TOKENIZER)):
+        engine = kind(tokenizer_path(path))
+        for text, ids in zip((a, b), engine.texts([a.encode(), b.encode()]), strict=True):
+            assert ids.tolist() == engine.whole(text).tolist()
+    sets, bounds = words.shingles(words.Runs([a.encode(), b.encode()]))
+    assert sets[0] != sets[1] and bounds.tolist() == [0, 1, 2]
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id LONG, text STRING")
+    assert [r.component_id for r in minhash.near_duplicates(docs).orderBy("doc_id").collect()] == [1, 2, 1]
