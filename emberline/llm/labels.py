@@ -13,14 +13,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
+def usable_labels(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label) of every labelled row that may teach; an id with several labels counts with the largest one."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(
+        "doc_id is not null and label in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def training_ids(labels: DataFrame, column: str, rows: int, where: str = "true") -> DataFrame:
     """(doc_id, label) of at most `rows` labelled rows that may teach, chosen by the hash of their id.
 
-    An id with several labels counts with the largest one. The result is bounded by `rows`.
+    The result is bounded by `rows`.
     """
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(
-        "doc_id is not null and label in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return usable.where(where).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return usable_labels(labels, column).where(where).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:

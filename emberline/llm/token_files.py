@@ -105,8 +105,11 @@ def _read_part(batches):
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """Every document of a manifest: doc_id, start, n_tokens and ids_crc32 from the files."""
-    return manifest.repartition(F.col("part")).mapInArrow(
+    """Every document of a manifest: doc_id, start, n_tokens and ids_crc32 from the files.
+
+    The parts are dealt out by a number of partitions of their own, which Spark does not merge again.
+    """
+    return manifest.repartition(max(1, manifest.count()), F.col("part")).mapInArrow(
         _read_part, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

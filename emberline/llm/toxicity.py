@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.labels import held_out, texts_of, training_ids
+from emberline.llm.labels import held_out, texts_of, training_ids, usable_labels
 from emberline.llm.params import TOXIC_ROWS, UNLABELLED_ROWS
 from emberline.llm.words import NO_LETTER, Runs, blocks, distinct
 
@@ -105,12 +105,14 @@ def _word_sets(chosen: DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(w, np.uint64) for w in table["words"].to_pylist()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS,
+        prior: float | None = None) -> Model:
     """The model from at most so many toxic and unlabelled texts, whose labels are not looked at.
 
-    The class prior is the share of toxic rows among all labelled rows that may teach.
+    The class prior is the share of toxic rows among all labelled rows that may teach, unless it is given.
     """
-    prior = training_ids(labels, "toxic", 1 << 30).agg(F.avg("label").alias("p")).first()["p"]
+    if prior is None:
+        prior = usable_labels(labels, "toxic").agg(F.avg("label").alias("p")).first()["p"]
     if not prior:
         return Model([], [], 0.0)
     toxic = texts_of(docs, training_ids(labels, "toxic", toxic_rows, "label = 1"))

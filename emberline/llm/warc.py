@@ -231,8 +231,8 @@ def _records(rows):
 
 
 def read(files: DataFrame) -> DataFrame:
-    """Every record of the archives of `files` (run, path), one task an archive."""
-    return files.repartition("run").mapInArrow(_read_archives, RECORDS)
+    """Every record of the archives of `files` (run, path), dealt out over as many tasks as there are archives."""
+    return files.repartition(max(1, files.count()), F.col("run")).mapInArrow(_read_archives, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
