@@ -6,8 +6,10 @@ normalised (lower case, single spaces) and hashed; of all equal units the one of
 there the first, stays. All others are cut out, with the white space after them. Units of fewer words
 at the end of a line are never cut out.
 
-Null text and null doc_id pass unchanged. Rows of one doc_id count as one document. A text may end up
-empty. Columns named like those added are replaced, an empty table gives an empty table.
+Null text and null doc_id pass unchanged. A row is known by its doc_id and a hash of its text: repeated rows
+count as one, rows of one doc_id with different texts as documents of their own, in the order of the hash. A
+text may end up empty and may be of any length; one task reads it a unit at a time. Columns named like those
+added are replaced, an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from emberline.llm.store import Workspace
+
 MIN_WORDS = 8
 _PIECE = re.compile(r"[^\n.!?]+[.!?]*[^\S\n]*\n?|[.!?]+[^\S\n]*\n?|\n")
 #: 12 bytes of digest: two equal among 10**12 different units have a probability of 6e-6.
-UNITS = "high long, low int, doc_id long, start int, stop int"
+UNITS = "high long, low int, doc_id long, text_key long, start int, stop int"
 ADDED = ("removed", "kept_spans", "n_removed")
 
 
@@ -44,17 +48,18 @@ def units(text: str, least: int = MIN_WORDS):
 
 def _unit_rows(batches):
     for batch in batches:
-        digests, ids, starts, stops = [], [], [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        digests, ids, keys, starts, stops = [], [], [], [], []
+        for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text")), strict=True):
             for start, stop, words in units(text):
                 digests.append(hashlib.blake2b(" ".join(words).lower().encode(), digest_size=12).digest())
                 ids.append(doc_id)
+                keys.append(key)
                 starts.append(start)
                 stops.append(stop)
         packed = np.frombuffer(b"".join(digests), np.dtype([("high", "<i8"), ("low", "<i4")]))
         yield pa.RecordBatch.from_pydict({
             "high": pa.array(np.ascontiguousarray(packed["high"])), "low": pa.array(np.ascontiguousarray(packed["low"])),
-            "doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int32()), "stop": pa.array(stops, pa.int32())})
+            "doc_id": pa.array(ids, pa.int64()), "text_key": pa.array(keys, pa.int64()), "start": pa.array(starts, pa.int32()), "stop": pa.array(stops, pa.int32())})
 
 
 @F.pandas_udf(StringType())
@@ -72,23 +77,30 @@ def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, start, stop and first_doc of every unit that is cut out.
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).where(
+        "doc_id is not null and text is not null")
+
+
+def repeats(docs: DataFrame, work: Workspace) -> DataFrame:
+    """doc_id, text_key, start, stop and first_doc of every unit that is cut out.
 
-    Digests are counted with a combination before the shuffle; only those that occur more than once
-    are joined to the units, and Spark splits the partitions of very common units.
+    Units are taken from the texts once and written as digests and places. Digests are counted with a
+    combination before the shuffle; only units whose digest occurs more than once are looked at again, and Spark
+    splits the partitions of very common ones.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
-        "doc_id is not null and text is not null").mapInArrow(_unit_rows, UNITS)
+    rows = work.table(_keyed(docs).mapInArrow(_unit_rows, UNITS), "units")
     known = rows.groupBy("high", "low").agg(
         F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = rows.join(known, ["high", "low"])
-    later = found.where("doc_id > first_doc").select("doc_id", "start", "stop", "first_doc")
-    # within the document that keeps the unit, all places but the first
+    found = work.table(rows.join(known, ["high", "low"]), "repeated")
+    work.drop(rows)
+    place = F.struct("text_key", "start")
     own = found.where("doc_id = first_doc")
-    first = own.groupBy("high", "low", "doc_id").agg(F.min("start").alias("first_start"))
-    again = own.join(first, ["high", "low", "doc_id"]).where("start > first_start")
-    return later.union(again.select("doc_id", "start", "stop", "first_doc")).distinct()
+    first = own.groupBy("high", "low").agg(F.min(place).alias("first_place"))
+    again = own.join(first, ["high", "low"]).where(place > F.col("first_place"))
+    columns = ("doc_id", "text_key", "start", "stop", "first_doc")
+    return found.where("doc_id > first_doc").select(*columns).union(again.select(*columns)).distinct()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -99,10 +111,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     such a column.
     """
     span = F.struct("start", "stop", "first_doc")
-    cut = repeats(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(span)).alias("removed"))
-    cut = cut.withColumnRenamed("doc_id", "_id")
+    with Workspace(docs.sparkSession) as work:
+        cut = work.result(repeats(docs, work).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(span)).alias("removed")))
+    cut = cut.withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_key", "_text")
     base = docs.drop(*ADDED)
-    joined = base.join(cut, base["doc_id"].cast("long") == cut["_id"], "left").drop(cut["_id"])
+    same = (base["doc_id"].cast("long") == cut["_doc"]) & (F.xxhash64(base["text"].cast("string")) == cut["_text"])
+    joined = base.join(cut, same, "left").drop(cut["_doc"], cut["_text"])
     hit = F.col("removed").isNotNull()
     old = F.length("text")
     ends = F.concat(F.transform("removed", lambda r: r["start"]), F.array(old))

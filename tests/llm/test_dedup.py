@@ -165,3 +165,14 @@ def test_lines_of_odd_rows(odd_docs, no_docs):
     assert {r.doc_id: r.text for r in rows}[1] is None
     assert [len(r.text) for r in rows if r.doc_id == 6] == [0]
     assert lines.deduplicated(no_docs).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """What is cut out of one row's text is not cut out of another of the same id."""
+    passage = "These eight or more words stand in several of the documents here. "
+    one, other = passage + "And this is the first text which nobody repeats at all.", "A clean sentence that stands nowhere else in any of the rows. " + passage
+    rows = [(1, passage), (2, one), (2, other), (2, other), (3, other)]
+    got = lines.deduplicated(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()
+    texts = sorted((r.doc_id, r.text) for r in got)
+    clean = "A clean sentence that stands nowhere else in any of the rows. "
+    assert texts == sorted([(1, passage), (2, one[len(passage):]), (2, clean), (2, clean), (3, "")])
