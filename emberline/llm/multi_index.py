@@ -211,7 +211,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
         if found is None:
             found = embeddings.sparkSession.createDataFrame([], "id long, linked long, reached long")
         found = work.table(found, "links")
-        groups = components(found, "id", "reached")
+        groups = components(found, "id", "reached", work)
         linked = found.groupBy("id").agg(F.sum("linked").alias("linked")).join(groups, "id", "left")
         of_class = classes.join(linked, "id", "left").select(
             "digest", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),

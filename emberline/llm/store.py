@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,34 +42,68 @@ def _ship(spark: SparkSession) -> None:
     context._emberline_sent = True
 
 
+#: Rows of one file of a table whose size is known before it is written.
+ROWS_PER_FILE = 1_000_000
+
+
+@contextmanager
+def once(spark: SparkSession):
+    """What runs in this block is run once, so Spark removes its shuffle files as soon as it has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Workspace:
     """A folder below the shared checkpoint folder that is deleted when the operator is done.
 
     What an operator returns must not read it: `result()` writes the rows to a checkpoint, which
-    Spark deletes with the last reference to them.
+    Spark deletes with the last reference to them where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self.tables = []
         self.root = f"{shared_dir(spark).rstrip('/')}/emberline/work-{uuid.uuid4().hex}"
 
     def __enter__(self) -> Workspace:
         return self
 
     def __exit__(self, *failed) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """`df` written and read again; `rows` is the most that it can hold, where that is known."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        if rows is not None:
+            df = df.coalesce(1 + rows // ROWS_PER_FILE)
+        with once(self.spark):
+            df.write.parquet(path)
+        read = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((read, path))
+        return read
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing will read any more."""
+        for read, path in self.tables:
+            if any(read is t for t in tables):
+                self._delete(path)
+        self.tables = [(read, path) for read, path in self.tables if not any(read is t for t in tables)]
 
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def result(self, df: DataFrame) -> DataFrame:
-        return df.checkpoint()
+        with once(self.spark):
+            return df.checkpoint()
 
 
 def file_system(uri: str):
