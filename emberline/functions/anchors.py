@@ -1,0 +1,35 @@
+"""One regular expression that finds every anchor literal of a rule table in a single pass over a line."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _quoted(char: str) -> str:
+    return char if char.isalnum() and char.isascii() else f"\\x{{{ord(char):x}}}"
+
+
+def _pattern(node: dict) -> str:
+    """The longest anchor below a node of the letter tree; the key '' marks the end of one."""
+    branches = [_quoted(c) + _pattern(child) for c, child in sorted(node.items()) if c]
+    if not branches:
+        return ""
+    joined = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+    return joined + ("?" if "" in node else "")
+
+
+def tree_pattern(anchors: list[str]) -> str:
+    """Shared beginnings are read once, so a place of a line is left at its first character in most cases."""
+    root: dict = {}
+    for anchor in anchors:
+        node = root
+        for char in anchor:
+            node = node.setdefault(char, {})
+        node[""] = {}
+    return _pattern(root)
+
+
+def found(text: Column, pattern: str) -> Column:
+    """The longest anchor at each place of the text, each one once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from emberline import params
 from emberline.functions import categories as cat
 from emberline.functions.text import clean_log
-from emberline.operators import convergence, rollup, signals, verdicts
+from emberline.operators import convergence, hunks, rollup, rules, signals, verdicts
 from emberline.plans.inputs import FAILED, categories, failed_runs, signal_jobs
 from emberline.sources import adapter
 
@@ -120,6 +120,38 @@ def pipeline_report(spark, sf):
         F.coalesce("n_subcategories", F.lit(0)).alias("n_subcategories"))
 
 
+def _rule_hits(spark, sf):
+    """Lines of the long logs on which built-in or user rules fire."""
+    table = rules.with_user_rules(rules.builtin_rules(spark), adapter.user_rules(spark, sf))
+    return rules.hit_lines(adapter.long_log_lines(spark, sf), table)
+
+
+def rule_hits(spark, sf):
+    return rules.marker_rows(_rule_hits(spark, sf))
+
+
+def rule_categories(spark, sf):
+    found = rules.log_category(rules.job_signals(_rule_hits(spark, sf).checkpoint()))
+    return found.select("run_id", "job_id", "category", "failed_test", "error_message")
+
+
+def failing_test_lists(spark, sf):
+    return rules.test_lists(rules.named_tests(_rule_hits(spark, sf)))
+
+
+def classify_all_tests(spark, sf):
+    """Verdicts from the long logs, each with every failed test of its job."""
+    hits = _rule_hits(spark, sf).checkpoint()
+    jobs = adapter.jobs(spark, sf).select("run_id", "job_id", "job_seq", "job_name", "conclusion", "steps").checkpoint()
+    tests = rules.named_tests(hits).select("run_id", "job_id", "test_file").distinct()
+    return verdicts.classify(adapter.runs(spark, sf), jobs, rules.job_signals(hits).checkpoint(),
+                             adapter.commit_files(spark, sf), tests=tests).drop("job_seq")
+
+
+def context_hunks(spark, sf):
+    return hunks.context_hunks(adapter.long_log_lines(spark, sf), r"--- FAIL:|FAILED|heartbeat lost|timed out|panic:")
+
+
 def _errors(spark, sf):
     return categories(spark, sf).select(F.col("category").alias("name"), "runs",
                                         F.col("example_error").alias("error")).checkpoint()
@@ -146,5 +178,7 @@ QUERIES = {
     "branch_history_short": branch_history_short, "cascade_cancel": cascade_cancel,
     "commit_touches_test": commit_touches_test, "systemic_failures": systemic_failures,
     "classify_failures": classify_failures, "similar_errors": similar_errors,
+    "rule_hits": rule_hits, "rule_categories": rule_categories, "failing_test_lists": failing_test_lists,
+    "classify_all_tests": classify_all_tests, "context_hunks": context_hunks,
     "converge_categories": converge_categories, "renamed_categories": renamed_categories, "pipeline_report": pipeline_report,
 }

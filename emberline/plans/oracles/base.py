@@ -149,6 +149,52 @@ SELECT j.run_id, j.job_id, framework < 5 AS ran_test, p_type = 'SMALL' AND NOT s
 FROM (SELECT *, framework = 5 AND suppkey % 3 = 0 AS silent FROM bad_jobs) j JOIN parts p ON j.partkey = p.partkey
 WHERE NOT silent"""
 
+def _marker(key: str) -> str:
+    return f"""CASE framework WHEN 0 THEN chr(27) || '[31m[FAIL]' || chr(27) || '[0m Parts [It] updates the part [' || (10000 + {key} % 97) || ', sanity, slow]'
+      WHEN 1 THEN '--- FAIL: TestPart' || ({key} % 89) || ' (0.53s)'
+      WHEN 2 THEN 'FAILED tests/test_part.py::TestPart::test_case_' || ({key} % 83) || ' - AssertionError'
+      WHEN 3 THEN 'Tests run: 1, Failures: 1 <<< FAILURE! PartServiceTest#testCase' || ({key} % 79)
+      WHEN 4 THEN 'FAIL src/part/case' || ({key} % 97) || '.test.ts > PartModule > rejects case ' || ({key} % 97)
+      ELSE 'Collecting the results of upstream jobs' END"""
+
+
+def _test(key: str) -> str:
+    return f"""CASE framework WHEN 0 THEN CAST(10000 + {key} % 97 AS VARCHAR) WHEN 1 THEN 'TestPart' || ({key} % 89)
+      WHEN 2 THEN 'tests/test_part.py::TestPart::test_case_' || ({key} % 83) WHEN 3 THEN 'PartServiceTest#testCase' || ({key} % 79)
+      WHEN 4 THEN 'PartModule > rejects case ' || ({key} % 97) ELSE '' END"""
+
+
+CTES["long_log"] = f"""
+SELECT run_id, job_id, CAST(n AS BIGINT) AS line_no, 52 + j.partkey % 13 AS n_lines,
+  strftime(completed_ts, '%Y-%m-%dT%H:%M:%SZ') || ' ' || CASE WHEN n = 1 THEN 'Run ' || job_name WHEN n = 2 THEN 'Testing part ' || p_name
+    WHEN n = 8 OR (n = 40 AND j.partkey % 2 = 0) THEN {_marker('j.partkey')} WHEN n = 13 THEN {_marker('suppkey')}
+    WHEN n = 20 AND suppkey % 4 = 0 THEN 'node-' || (suppkey % 25) || ': heartbeat lost'
+    WHEN n = 52 + j.partkey % 13 THEN CASE WHEN framework = 5 AND suppkey % 3 = 0 THEN 'Result: an upstream job did not pass'
+      WHEN p_type = 'STANDARD' THEN 'context deadline exceeded after 30s' WHEN p_type = 'ECONOMY' THEN 'dial tcp 10.0.0.7:5432: connection refused'
+      WHEN p_type = 'PROMO' THEN 'panic: runtime error: nil pointer dereference' WHEN p_type = 'SMALL' THEN 'src/part.go:42: undefined: NewPartClient'
+      WHEN p_type = 'MEDIUM' THEN 'timed out waiting for device /dev/part after 60s' ELSE 'fatal: out of memory (killed)' END
+    ELSE 'step ' || n || ' ok' END AS text
+FROM bad_jobs j JOIN parts p ON j.partkey = p.partkey, range(1, 65) AS g(n) WHERE n <= 52 + j.partkey % 13"""
+
+# What a long log says, from the columns it was made of: its first test, all tests, error and root cause.
+CTES["long_sig"] = f"""
+SELECT *, CASE WHEN first_test = second_test THEN first_test ELSE first_test || ', ' || second_test END AS failed_test,
+  coalesce(root_cause, CASE p_type WHEN 'STANDARD' THEN 'context-deadline-exceeded-after-s' WHEN 'ECONOMY' THEN 'dial-tcp-connection-refused'
+    WHEN 'PROMO' THEN 'panic-runtime-error-nil-pointer-dereference' WHEN 'SMALL' THEN 'src-part-go-undefined-newpartclient'
+    WHEN 'MEDIUM' THEN 'timed-out-waiting-for-device-dev-part-after-s' END) AS slug
+FROM (SELECT j.run_id, j.job_id, j.framework, j.partkey, j.suppkey, p_type, framework < 5 AS ran_test, p_type = 'SMALL' AND NOT silent AS build,
+  p_type IN ('STANDARD', 'MEDIUM') AND NOT silent AS timeout, {_test('j.partkey')} AS first_test, {_test('suppkey')} AS second_test,
+  CASE WHEN suppkey % 4 = 0 THEN 'lost-node-' || (suppkey % 25) WHEN p_type NOT IN ('STANDARD', 'ECONOMY', 'PROMO', 'SMALL', 'MEDIUM')
+    THEN 'out-of-memory' END AS root_cause,
+  CASE WHEN suppkey % 4 = 0 THEN 'node-' || (suppkey % 25) || ': heartbeat lost' WHEN p_type = 'STANDARD' THEN 'context deadline exceeded after 30s'
+    WHEN p_type = 'ECONOMY' THEN 'dial tcp 10.0.0.7:5432: connection refused' WHEN p_type = 'PROMO' THEN 'panic: runtime error: nil pointer dereference'
+    WHEN p_type = 'SMALL' THEN 'src/part.go:42: undefined: NewPartClient' WHEN p_type = 'MEDIUM' THEN 'timed out waiting for device /dev/part after 60s'
+    ELSE 'fatal: out of memory (killed)' END AS error_message,
+  CASE framework WHEN 2 THEN ['tests/test_part.py'] WHEN 4 THEN ['src/part/case' || (j.partkey % 97) || '.test.ts', 'src/part/case' || (suppkey % 97) || '.test.ts']
+    ELSE [] END AS test_files
+  FROM (SELECT *, framework = 5 AND suppkey % 3 = 0 AS silent FROM bad_jobs) j JOIN parts p ON j.partkey = p.partkey
+  WHERE NOT silent OR suppkey % 4 = 0)"""
+
 CTES["commits"] = r"""
 SELECT md5('c' || p.partkey) AS sha, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS author_date,
   CASE p.partkey % 4 WHEN 0 THEN 'Fix flaky test T' || (p.partkey % 10) WHEN 1 THEN 'Increase timeout for ' || brand_slug

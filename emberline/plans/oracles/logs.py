@@ -54,6 +54,58 @@ FROM (
   LEFT JOIN sig s ON s.run_id = j.run_id AND s.job_id = j.job_id
   WHERE s.job_id IS NOT NULL OR j.conclusion = 'cancelled')"""
 
+# Rules that fire on the marker lines and on the last line, by framework and by part type.
+_RULE_HITS = """
+SELECT run_id, job_id, CAST(line_no AS BIGINT) AS line_no, r.rule_id, r.framework, r.kind, r.priority, r.slug FROM (
+  SELECT run_id, job_id, unnest(CASE WHEN partkey % 2 = 0 THEN [8, 13, 40] ELSE [8, 13] END) AS line_no,
+    CASE framework WHEN 0 THEN ['ginkgo-test-1', 'ginkgo-case-1'] WHEN 1 THEN ['go-test-1'] WHEN 2 THEN ['pytest-test-1']
+      WHEN 3 THEN ['junit-test-1', 'junit-test-2'] WHEN 4 THEN ['jest-test-1'] ELSE [] END AS ids FROM bad_jobs
+  UNION ALL SELECT run_id, job_id, 20, ['node-' || (suppkey % 25)] FROM bad_jobs WHERE suppkey % 4 = 0
+  UNION ALL SELECT run_id, job_id, 52 + j.partkey % 13, CASE p_type WHEN 'STANDARD' THEN ['any-timeout-3'] WHEN 'ECONOMY' THEN ['any-network-1']
+      WHEN 'PROMO' THEN ['go-crash-1', 'any-crash-1'] WHEN 'SMALL' THEN ['any-build-2'] WHEN 'MEDIUM' THEN ['any-timeout-2']
+      ELSE ['any-resource-2', 'any-resource-3'] END
+    FROM bad_jobs j JOIN parts p ON p.partkey = j.partkey WHERE NOT (framework = 5 AND suppkey % 3 = 0)) h
+JOIN (SELECT id AS rule_id, split_part(id, '-', 1) AS framework, split_part(id, '-', 2) AS kind,
+    CASE split_part(id, '-', 2) WHEN 'test' THEN 3 WHEN 'case' THEN 4 ELSE 1 END AS priority,
+    CASE id WHEN 'any-resource-3' THEN 'out-of-memory' END AS slug
+    FROM (SELECT unnest(['ginkgo-test-1', 'ginkgo-case-1', 'go-test-1', 'pytest-test-1', 'junit-test-1', 'junit-test-2', 'jest-test-1',
+      'any-timeout-3', 'any-network-1', 'go-crash-1', 'any-crash-1', 'any-build-2', 'any-timeout-2', 'any-resource-2', 'any-resource-3']) AS id)
+  UNION ALL SELECT 'node-' || n_nationkey, 'site', 'node', 1, 'lost-node-' || n_nationkey FROM nation) r
+  ON list_contains(h.ids, r.rule_id)"""
+
+_LONG_TOUCHED = """SELECT s.run_id, s.job_id FROM (SELECT run_id, job_id, unnest(test_files) AS f FROM long_sig) s
+  JOIN runs r ON r.run_id = s.run_id WHERE (r.commit_sha, s.f) IN (SELECT sha, filename FROM commit_files)"""
+
+_LONG_SYSTEMIC = _SYSTEMIC.replace("LEFT JOIN sig s", "LEFT JOIN (SELECT *, regexp_replace(error_message, '[0-9]+', '#', 'g') AS signature FROM long_sig) s")
+
+_CLASSIFY_ALL = f"""
+SELECT run_id, job_id, job_name, reason,
+  CASE reason WHEN 'cascade-cancel' THEN 'infra-flake/cascade-cancel' WHEN 'build-error' THEN 'build-error/' || slug
+    WHEN 'never-ran' THEN 'infra-flake/' || coalesce(slug, 'unknown-failure') WHEN 'systemic' THEN 'test-flake/systemic-' || slug
+    ELSE CASE reason WHEN 'regression' THEN 'bug/' ELSE 'test-flake/' END || slug || CASE WHEN first_test <> '' THEN '/' || first_test ELSE '' END END AS category,
+  CASE WHEN reason IN ('build-error', 'regression') THEN 'no' WHEN reason = 'unknown' THEN 'unclear' ELSE 'yes' END AS is_flake,
+  coalesce(first_test, '') AS test_id, coalesce(failed_test, '') AS failed_test, coalesce(error_message, '') AS error_message
+FROM (
+  SELECT j.run_id, j.job_id, j.job_name, s.slug, s.first_test, s.failed_test, s.error_message,
+    CASE WHEN j.conclusion = 'cancelled' AND j.failure_step = '' AND j.run_id IN (SELECT run_id FROM jobs WHERE conclusion = 'failure') THEN 'cascade-cancel'
+    WHEN s.build THEN 'build-error' WHEN NOT coalesce(s.ran_test, false) THEN 'never-ran'
+    WHEN (j.run_id, regexp_replace(s.error_message, '[0-9]+', '#', 'g')) IN (SELECT run_id, signature FROM ({_LONG_SYSTEMIC})) THEN 'systemic'
+    WHEN (r.commit_sha, j.job_name) IN (SELECT commit_sha, job_name FROM ({_SAME}) WHERE intermittent) THEN 'passes-elsewhere'
+    WHEN (r.branch, j.job_name) IN (SELECT branch, job_name FROM ({_HISTORY.format(n=20)}) WHERE never_passes)
+      OR (j.run_id, j.job_id) IN ({_LONG_TOUCHED}) THEN 'regression'
+    WHEN s.timeout THEN 'timing' ELSE 'unknown' END AS reason
+  FROM bad_jobs j JOIN bad_runs r ON r.run_id = j.run_id LEFT JOIN long_sig s ON s.run_id = j.run_id AND s.job_id = j.job_id
+  WHERE s.job_id IS NOT NULL OR j.conclusion = 'cancelled')"""
+
+# Hits of the long logs, and hunks where the gap to the hit before is more than two frames.
+_HUNKS = """
+SELECT run_id, job_id, CAST(hunk_no AS BIGINT) AS hunk_no, CAST(greatest(1, min(line_no) - 5) AS BIGINT) AS first_line,
+  CAST(least(max(n_lines), max(line_no) + 5) AS BIGINT) AS last_line
+FROM (SELECT *, sum(CASE WHEN line_no - before <= 11 THEN 0 ELSE 1 END) OVER (PARTITION BY run_id, job_id ORDER BY line_no) AS hunk_no
+  FROM (SELECT *, lag(line_no) OVER (PARTITION BY run_id, job_id ORDER BY line_no) AS before FROM long_log
+    WHERE regexp_matches(text, '--- FAIL:|FAILED|heartbeat lost|timed out|panic:')))
+GROUP BY run_id, job_id, hunk_no"""
+
 # Words of a message, then every pair of distinct word sets.
 _WORDS = """list_sort(list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower({text}), '[0-9]+', '#', 'g'),
   '[^a-z0-9#]+', ' ', 'g'), ' '), lambda w: w <> '')))"""
@@ -95,6 +147,13 @@ ORACLES = {
         coalesce(arg_min(summary, pos) FILTER (summary <> ''), '') AS example_summary,
         min(run_started_at) AS first_started_at, max(run_started_at) AS last_started_at,
         CAST(count(DISTINCT category) FILTER (category <> winner) AS BIGINT) AS n_subcategories FROM final GROUP BY winner""", _RENAMED),
+    "rule_hits": compose(_RULE_HITS),
+    "rule_categories": compose("""SELECT run_id, job_id, CASE WHEN build THEN 'build-error/' || slug WHEN NOT ran_test THEN 'infra-flake/' || slug
+        ELSE 'test-flake/' || slug || CASE WHEN first_test <> '' THEN '/' || first_test ELSE '' END END AS category, failed_test, error_message FROM long_sig"""),
+    "failing_test_lists": compose("""SELECT run_id, job_id, first_test AS test_id, failed_test,
+        CAST(CASE WHEN first_test = second_test THEN 1 ELSE 2 END AS BIGINT) AS n_tests FROM long_sig WHERE first_test <> ''"""),
+    "classify_all_tests": compose(_CLASSIFY_ALL),
+    "context_hunks": compose(_HUNKS),
     "log_lines": compose("SELECT run_id, job_id, line_no, text FROM log"),
     "log_line_counts": compose("SELECT run_id, job_id, CAST(count(*) AS BIGINT) AS lines FROM log GROUP BY run_id, job_id"),
     "failure_markers": compose("""SELECT run_id, job_id, line_no, framework, kind FROM (

@@ -176,6 +176,52 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
             .select("run_id", "job_id", F.inline(texts)))
 
 
+def long_log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs of 52 to 64 lines per failed or cancelled job: two failed tests near each other, the first of them once
+    more for even parts, a lost node for every fourth supplier, and the error in the last line."""
+    def marker(no: str) -> Column:
+        return F.expr(rf"""CASE framework
+            WHEN 0 THEN concat('\u001b[31m[FAIL]\u001b[0m Parts [It] updates the part [', 10000 + {no} % 97, ', sanity, slow]')
+            WHEN 1 THEN concat('--- FAIL: TestPart', {no} % 89, ' (0.53s)')
+            WHEN 2 THEN concat('FAILED tests/test_part.py::TestPart::test_case_', {no} % 83, ' - AssertionError')
+            WHEN 3 THEN concat('Tests run: 1, Failures: 1 <<< FAILURE! PartServiceTest#testCase', {no} % 79)
+            WHEN 4 THEN concat('FAIL src/part/case', {no} % 97, '.test.ts > PartModule > rejects case ', {no} % 97)
+            ELSE 'Collecting the results of upstream jobs' END""")
+
+    error = F.expr("""CASE WHEN framework = 5 AND suppkey % 3 = 0 THEN 'Result: an upstream job did not pass'
+        WHEN p_type = 'STANDARD' THEN 'context deadline exceeded after 30s'
+        WHEN p_type = 'ECONOMY' THEN 'dial tcp 10.0.0.7:5432: connection refused'
+        WHEN p_type = 'PROMO' THEN 'panic: runtime error: nil pointer dereference'
+        WHEN p_type = 'SMALL' THEN 'src/part.go:42: undefined: NewPartClient'
+        WHEN p_type = 'MEDIUM' THEN 'timed out waiting for device /dev/part after 60s'
+        ELSE 'fatal: out of memory (killed)' END""")
+    line, last = F.col("line_no"), F.col("n_lines")
+    text = (F.when(line == 1, F.concat(F.lit("Run "), "job_name")).when(line == 2, F.concat(F.lit("Testing part "), "p_name"))
+            .when((line == 8) | ((line == 40) & (F.col("partkey") % 2 == 0)), marker("partkey")).when(line == 13, marker("suppkey"))
+            .when((line == 20) & (F.col("suppkey") % 4 == 0), F.concat(
+                F.lit("node-"), (F.col("suppkey") % 25).cast("string"), F.lit(": heartbeat lost")))
+            .when(line == last, error).otherwise(F.concat(F.lit("step "), line.cast("string"), F.lit(" ok"))))
+    return (jobs(spark, sf, ("failure", "cancelled"))
+            .join(parts(spark, sf).select("partkey", "p_name", "p_type"), "partkey")
+            .withColumn("n_lines", 52 + F.col("partkey") % 13)
+            .withColumn("line_no", F.explode(F.sequence(F.lit(1).cast("bigint"), "n_lines")))
+            .select("run_id", "job_id", "line_no", F.concat(iso(F.col("completed_at")), F.lit(" "), text).alias("text")))
+
+
+def user_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules that a user of the test tables adds: one for each node, and a name for what the kernel killed."""
+    key = F.col("n_nationkey").cast("string")
+    nodes = table(spark, sf, "nation").select(
+        F.concat(F.lit("node-"), key).alias("rule_id"), F.lit("site").alias("framework"), F.lit("node").alias("kind"),
+        F.concat(F.lit("node-"), key, F.lit(":")).alias("anchor"),
+        F.when(F.col("n_nationkey") % 2 == 1, "node-[0-9]+: heartbeat").alias("pattern"), F.lit(1).alias("priority"),
+        F.concat(F.lit("lost-node-"), key).alias("slug"))
+    killed = table(spark, sf, "region").where("r_regionkey = 0").selectExpr(
+        "'any-resource-3' AS rule_id", "'any' AS framework", "'resource' AS kind", "'killed' AS anchor",
+        "CAST(NULL AS STRING) AS pattern", "1 AS priority", "'out-of-memory' AS slug")
+    return nodes.unionByName(killed)
+
+
 def commits(spark: SparkSession, sf: str) -> DataFrame:
     """Commit messages have a body; only the subject line is searched."""
     subject = F.expr("""CASE partkey % 4
