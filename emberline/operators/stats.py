@@ -142,3 +142,43 @@ def quality_trend(run_rows: DataFrame, verdicts: DataFrame, phases: DataFrame, p
         "period", "runs", "agents", *TREND,
         *[F.round(F.col(c) - F.lag(c).over(ordered), 1).alias(f"{c}_change") for c in TREND],
         *[one_decimal(F.sum(tenths[c]).over(before), F.count(c).over(before) * 10).alias(f"{c}_before") for c in TREND])
+
+
+def sustained_rises(trend: DataFrame, signals: tuple[str, ...] = TREND, least: int = 2) -> DataFrame:
+    """Per period and signal the number of periods that it has risen without a break, and whether that is sustained.
+
+    Gaps and islands over the rows of the trend, one a period: every period in which a signal does not rise
+    begins a new island. A rise of `least` periods or more counts as sustained.
+    """
+    # one row for each period and signal
+    long = trend.select("period", F.inline(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("value"))
+                                                     for s in signals])))
+    ordered = Window.partitionBy("signal").orderBy("period")
+    rises = F.coalesce(F.col("value") > F.lag("value").over(ordered), F.lit(False))
+    islands = long.withColumn("rises", rises).withColumn("island", F.sum(F.when(F.col("rises"), 0).otherwise(1)).over(ordered))
+    length = F.count("*").over(Window.partitionBy("signal", "island").orderBy("period")) - 1
+    return islands.select("period", "signal", "value", length.alias("rising_for")).withColumn(
+        "sustained", F.col("rising_for") >= least)
+
+
+def merged_maps(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Per group one map: the values of each map key added up. Entries meet by (group, key), combined before the
+    shuffle, so that a map of many keys or a group of many rows is never in one task as a whole."""
+    entries = rows.select(*keys, F.explode(column).alias("key", "value"))
+    summed = entries.groupBy(*keys, "key").agg(F.sum("value").alias("value"))
+    maps = summed.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias(column))
+    return rows.select(*keys).distinct().join(maps, keys, "left").withColumn(
+        column, F.coalesce(column, F.create_map().cast(maps.schema[column].dataType)))
+
+
+def phase_totals(records: DataFrame) -> DataFrame:
+    """Per phase the records, turns, both durations, errors and the usage counters of all its records.
+
+    Usage entries that are no whole numbers are no counters and are left out.
+    """
+    counters = F.map_filter(F.transform_values("usage", lambda _, v: v.try_cast("bigint")), lambda _, v: v.isNotNull())
+    records = records.withColumn("usage", counters)
+    totals = records.groupBy("phase").agg(
+        F.count("*").alias("records"), F.sum("turns").alias("turns"), F.sum("duration_ms").alias("duration_ms"),
+        F.sum("duration_api_ms").alias("duration_api_ms"), F.count_if("is_error").alias("errors"))
+    return totals.join(merged_maps(records, ["phase"], "usage"), "phase")

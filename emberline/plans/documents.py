@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from emberline.functions import categories as cat
 from emberline.operators import rollup, status
-from emberline.plans.inputs import FAILED, failed_runs
-from emberline.session import staging_path
-from emberline.sinks import writers
+from emberline.operators.ordering import with_position
+from emberline.plans.inputs import FAILED, failed_jobs, failed_runs
+from emberline.session import staging, staging_path
+from emberline.sinks import run_table, writers
 from emberline.sources import adapter, documents, readers
+from emberline.streaming import status_table
 
 
 def _block_input(spark, sf):
@@ -40,6 +42,31 @@ def progress_jobs(spark, sf):
         "failed_test", "error_message", "summary")
 
 
+def _new_document(spark, sf, read):
+    """The failed-job file of all rows, the new document made from it, and what `read` finds there, in a checkpoint."""
+    with staging(spark, "failed-jobs") as csv, staging(spark, "pending") as path:
+        writers.write_failed_jobs(failed_jobs(spark, sf).withColumn("pos", F.struct("run_id", "job_seq", "job_id")), csv)
+        writers.write_pending_document(writers.pending_document(readers.read_failed_jobs(spark, csv)), path)
+        return read(path).checkpoint()
+
+
+def pending_document_jobs(spark, sf):
+    """Every job section of the new document with its place in it and the fields of its run."""
+    rows = _new_document(spark, sf, lambda path: documents.job_rows(readers.read_run_document(spark, path)))
+    return with_position(rows, [F.col("pos")], "position").drop("pos")
+
+
+def pending_document_head(spark, sf):
+    """What stands before the first block, and how many runs follow."""
+    def read(path):
+        records = spark.read.text(path, lineSep=readers.BLOCK_START).select("value", F.struct(
+            F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("record")).alias("pos"))
+        blocks = readers.parse_run_records(records).agg(F.count_distinct("run_id").alias("runs"))
+        return records.agg(F.min_by("value", "pos").alias("head")).crossJoin(blocks)  # one row each
+    return _new_document(spark, sf, read)
+
+
 def category_list(spark, sf):
     return rollup.category_list(adapter.classified(spark, sf))
 
@@ -81,6 +108,29 @@ def merge_runs(spark, sf):
     return status.merge_runs(base, _updates(spark, sf))
 
 
+def stored_runs(spark, sf):
+    """A stored table of pending runs after two updates, the second one repeated, as read back."""
+    with staging(spark, "runs") as path:
+        first = F.struct(F.lit(0).cast("bigint").alias("no"), F.lit(0).cast("bigint").alias("id")).alias("version")
+        run_table.create(failed_runs(spark, sf).select("run_id", F.lit("pending").alias("status"), first), path)
+        for early in (True, False, False):
+            checks = run_table.upsert(spark, path, _updates(spark, sf).where((F.col("version.no") <= 3) == early))
+        offered = checks.select("run_id", "verified")
+        return run_table.read(spark, path).join(offered, "run_id", "left").select(
+            "run_id", "status", (F.col("version.no") > 0).alias("merged"), F.coalesce("verified", F.lit(False)).alias("verified")).checkpoint()
+
+
+def streamed_status(spark, sf):
+    """The run-status table after a stream over documents, one file a batch, with its folders folded on the way."""
+    block = F.concat(F.lit("<!-- BEGIN RUN "), F.col("run_id").cast("string"), F.lit(" -->\n- **status**: "), "status",
+                     F.lit("\n\n#### job: `a`\n<!-- END RUN "), F.col("run_id").cast("string"), F.lit(" -->\n"))
+    with staging(spark, "documents") as source, staging(spark, "status") as target, staging(spark, "stream") as state:
+        _updates(spark, sf).select(block.alias("value")).repartition(6).write.text(source)
+        query = status_table.start(status_table.document_stream(spark, source, 1), target, state, compact_every=4)
+        query.awaitTermination()
+        return status_table.read(spark, target).withColumn("run_id", F.col("run_id").cast("bigint")).checkpoint()
+
+
 def run_status_latest(spark, sf):
     return status.latest_status(_updates(spark, sf))
 
@@ -119,10 +169,11 @@ def promoted_runs(spark, sf):
 
 QUERIES = {
     "render_run_blocks": render_run_blocks, "progress_run_blocks": progress_run_blocks,
+    "pending_document_jobs": pending_document_jobs, "pending_document_head": pending_document_head,
     "progress_jobs": progress_jobs, "category_list": category_list,
     "category_descriptions": category_descriptions, "has_categories": has_categories,
     "failing_branches": failing_branches, "runs_by_status": runs_by_status, "run_shas": run_shas,
-    "merge_runs": merge_runs, "run_status_latest": run_status_latest, "unfinished_runs": unfinished_runs,
+    "merge_runs": merge_runs, "stored_runs": stored_runs, "streamed_status": streamed_status, "run_status_latest": run_status_latest, "unfinished_runs": unfinished_runs,
     "unmerged_runs": unmerged_runs, "status_counts": status_counts, "report_unfinished": report_unfinished,
     "promoted_runs": promoted_runs,
 }

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from emberline import params
 from emberline.operators import history
 from emberline.operators.ordering import with_position
-from emberline.plans.inputs import FAILED, failed_jobs, failed_runs, with_iso
-from emberline.session import staging_path
+from emberline.plans.inputs import FAILED, failed_jobs, failed_runs, lookback_start, with_iso
+from emberline.session import staging, staging_path
 from emberline.sinks.writers import write_failed_jobs
-from emberline.sources import adapter
+from emberline.sources import adapter, readers
 from emberline.sources.readers import read_failed_jobs
 
 BRANCHES, WORKFLOWS = params.BRANCHES, params.WORKFLOWS
@@ -100,7 +100,52 @@ def csv_roundtrip(spark, sf):
     return with_position(read_failed_jobs(spark, path), [F.col("pos")], "position").drop("pos")
 
 
+def _through_files(spark, name, lines, read):
+    """Rows read from text files that are deleted again."""
+    with staging(spark, name) as path:
+        lines.write.text(path)
+        return read(spark, path).checkpoint()
+
+
+def json_runs(spark, sf):
+    checked = _through_files(spark, "runs", adapter.run_records(spark, sf), readers.read_runs_json)
+    return with_iso(history.select_runs(readers.good_records(checked), "failure", branch="main", event="push", workflow="ci.yaml"))
+
+
+def json_jobs(spark, sf):
+    checked = _through_files(spark, "jobs", adapter.job_records(spark, sf), readers.read_jobs_json)
+    jobs = history.failed(readers.good_records(checked))
+    return jobs.select("run_id", "job_id", "job_name", "conclusion", F.coalesce(adapter.iso(F.col("completed_at")), F.lit("")).alias("completed_at"),
+                       history.first_failed_step(F.col("steps")).alias("failure_step"))
+
+
+def json_quarantine(spark, sf):
+    """Records of both sources that cannot be used, by reason, beside the good ones."""
+    runs = _through_files(spark, "runs", adapter.run_records(spark, sf), readers.read_runs_json)
+    jobs = _through_files(spark, "jobs", adapter.job_records(spark, sf), readers.read_jobs_json)
+    both = [checked.select(F.lit(name).alias("source"), F.coalesce("problem", F.lit("good")).alias("state"))
+            for name, checked in (("runs", runs), ("jobs", jobs))]
+    return both[0].unionByName(both[1]).groupBy("source", "state").agg(F.count("*").alias("records"))
+
+
+def commits_tsv(spark, sf):
+    return _through_files(spark, "commits", adapter.commit_lines(spark, sf), lambda s, p: readers.read_commits_tsv(s, p, lookback_start()))
+
+
+def pull_requests_tsv(spark, sf):
+    return _through_files(spark, "pull-requests", adapter.pull_request_lines(spark, sf), readers.read_pull_requests_tsv)
+
+
+def tsv_malformed(spark, sf):
+    commits = _through_files(spark, "commits", adapter.commit_lines(spark, sf), lambda s, p: readers.malformed_tsv(s, p, readers.COMMITS_TSV))
+    pulls = _through_files(spark, "pull-requests", adapter.pull_request_lines(spark, sf),
+                           lambda s, p: readers.malformed_tsv(s, p, readers.PULL_REQUESTS_TSV))
+    return commits.select("raw", "problem").unionByName(pulls.select("raw", "problem"))
+
+
 QUERIES = {
+    "json_runs": json_runs, "json_jobs": json_jobs, "json_quarantine": json_quarantine, "commits_tsv": commits_tsv,
+    "pull_requests_tsv": pull_requests_tsv, "tsv_malformed": tsv_malformed,
     "scan_runs": scan_runs, "scan_failed_jobs": scan_failed_jobs, "failed_runs": failed_runs_query,
     "lookback_filter": lookback_filter, "workflow_filter": workflow_filter, "branch_filter": branch_filter,
     "merge_queue_filter": merge_queue_filter, "runs_by_id": runs_by_id, "first_failed_step": first_failed_step,

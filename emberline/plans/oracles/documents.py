@@ -27,6 +27,13 @@ ORACLES = {
         UNION ALL SELECT run_id, 1, job_seq, job_id, '#### job: `' || job_name || '`' || chr(10) || {_JOB} FROM classified"""),
     "progress_run_blocks": compose("""SELECT DISTINCT CAST(run_id AS VARCHAR) AS run_id, status, run_url, branch, event,
         run_started_at, CAST(run_attempt AS VARCHAR) AS run_attempt, commit_sha FROM classified"""),
+    "pending_document_jobs": compose("""SELECT CAST(run_id AS VARCHAR) AS run_id, 'pending' AS status, run_url, branch, event, run_started_at,
+        CAST(run_attempt AS VARCHAR) AS run_attempt, commit_sha, failed_job_name AS job_name, job_conclusion, failure_step AS step, '' AS job_id,
+        '' AS category, '' AS is_flake, '' AS test_id, '' AS failed_test, '' AS error_message, '' AS summary,
+        row_number() OVER (ORDER BY run_started_at DESC, run_id, job_seq, job_id) AS position FROM fact"""),
+    "pending_document_head": compose("""SELECT '# CI Failure Classification Progress' || chr(10) || chr(10) || '## Categories So Far' || chr(10) ||
+        '<!-- CATEGORIES START -->' || chr(10) || '(none yet)' || chr(10) || '<!-- CATEGORIES END -->' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+        AS head, count(DISTINCT run_id) AS runs FROM fact"""),
     "progress_jobs": compose("""SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(job_id AS VARCHAR) AS job_id, job_name,
         job_conclusion, step, category, is_flake, test_id, job_name AS failed_test, error_message, summary FROM classified"""),
     "category_list": compose(_LIST),
@@ -40,6 +47,10 @@ ORACLES = {
         coalesce(n.status, 'pending') = 'done' AS verified FROM bad_runs r
         LEFT JOIN (SELECT run_id, arg_max(status, (job_seq, job_id)) AS status FROM updates GROUP BY run_id) n
           ON n.run_id = r.run_id"""),
+    "stored_runs": compose("""SELECT r.run_id, coalesce(n.status, 'pending') AS status, n.status IS NOT NULL AS merged, coalesce(late, false) AS verified
+        FROM bad_runs r LEFT JOIN (SELECT run_id, arg_max(status, (job_seq, job_id)) AS status, max(job_seq) > 3 AS late FROM updates GROUP BY run_id) n
+          ON n.run_id = r.run_id"""),
+    "streamed_status": compose("SELECT * FROM latest"),
     "run_status_latest": compose("SELECT * FROM latest"),
     "unfinished_runs": compose("""SELECT run_id FROM bad_runs WHERE run_id NOT IN
         (SELECT run_id FROM updates WHERE status = 'done')"""),

@@ -31,7 +31,33 @@ def _collected(columns: str, by_workflow: bool) -> str:
         {listed})) WHERE pick = 1"""
 
 
+# Raw lines as they were made; `\\t` stands between the fields, and surplus ones belong to the free text.
+_COMMIT_LINES = r"""SELECT p.partkey, md5('c' || p.partkey) AS sha, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS author_date,
+  CASE p.partkey % 5 WHEN 0 THEN '"' || subject WHEN 1 THEN subject || '\' WHEN 2 THEN subject || chr(9) || 'with a tab' ELSE subject END AS subject
+  FROM (SELECT *, CASE partkey % 4 WHEN 0 THEN 'Fix flaky test T' || (partkey % 10) WHEN 1 THEN 'Increase timeout for ' || brand_slug
+    WHEN 2 THEN 'Retry ' || p_name || ' setup' ELSE 'Update docs for ' || p_name END AS subject FROM parts) p
+  JOIN orders o ON o.o_orderkey = p.partkey"""
+_PR_LINES = r"""SELECT number, created, url, CASE number % 4 WHEN 0 THEN '"' || title || ' only' WHEN 1 THEN title || chr(9) || 'and \' ELSE title END AS title FROM prs"""
+_JOB_STATE = """CASE WHEN job_id % 17 = 0 OR job_id % 23 = 0 THEN 'unreadable' WHEN job_id % 19 = 0 THEN 'no job_id' ELSE 'good' END"""
+
 ORACLES = {
+    "json_runs": compose("""SELECT run_id, run_url, workflow, branch, event, commit_sha, created_at, run_attempt, conclusion FROM runs
+        WHERE conclusion = 'failure' AND branch = 'main' AND event = 'push' AND workflow = 'ci.yaml' AND run_id % 17 <> 0 AND run_id % 19 <> 0"""),
+    "json_jobs": compose(f"""SELECT run_id, job_id, job_name, conclusion, strftime(completed_ts, '%Y-%m-%dT%H:%M:%SZ') AS completed_at, failure_step
+        FROM bad_jobs WHERE {_JOB_STATE} = 'good'"""),
+    "json_quarantine": compose(f"""SELECT 'jobs' AS source, {_JOB_STATE} AS state, count(*) AS records FROM jobs GROUP BY 2
+        UNION ALL SELECT 'runs', CASE WHEN run_id % 17 = 0 THEN 'unreadable' WHEN run_id % 19 = 0 THEN 'no run_id' ELSE 'good' END, count(*)
+        FROM bad_runs GROUP BY 2"""),
+    "commits_tsv": compose(f"""SELECT sha, author_date, subject FROM ({_COMMIT_LINES})
+        WHERE partkey % 11 <> 0 AND partkey % 13 <> 0 AND author_date >= '2001-05-03T00:00:00Z'"""),
+    "pull_requests_tsv": compose(f"SELECT number, created, title, url FROM ({_PR_LINES}) WHERE number % 10 NOT IN (3, 7)"),
+    "tsv_malformed": compose(f"""SELECT sha || chr(9) || subject AS raw, CASE partkey % 5 WHEN 2 THEN 'malformed author_date' ELSE 'too few fields' END AS problem
+          FROM ({_COMMIT_LINES}) WHERE partkey % 11 = 0
+        UNION ALL SELECT sha || chr(9) || 'yesterday' || chr(9) || subject, 'malformed author_date' FROM ({_COMMIT_LINES})
+          WHERE partkey % 13 = 0 AND partkey % 11 <> 0
+        UNION ALL SELECT '#' || number || chr(9) || created || chr(9) || title, CASE number % 4 WHEN 1 THEN 'malformed url' ELSE 'too few fields' END
+          FROM ({_PR_LINES}) WHERE number % 10 = 3
+        UNION ALL SELECT number || chr(9) || created || chr(9) || title || chr(9) || url, 'malformed number' FROM ({_PR_LINES}) WHERE number % 10 = 7"""),
     "scan_runs": compose(f"""SELECT {_RUN} FROM runs WHERE conclusion = 'failure' AND branch = 'main'
         AND event = 'push' AND workflow = 'ci.yaml'"""),
     "scan_failed_jobs": compose("""SELECT run_id, job_id, job_name, conclusion,

@@ -146,3 +146,23 @@ ORACLES = {
         CAST(0 AS BIGINT) AS total_jobs, CAST(0 AS BIGINT) AS categories, CAST(0 AS BIGINT) AS unfinished_runs
         FROM bad_runs WHERE created_ts >= TIMESTAMP '2031-01-01' HAVING count(*) = 0"""),
 }
+
+# Consecutive rises up to a period: its number minus that of the last period without a rise.
+ORACLES["quality_rises"] = f"""SELECT period, signal, value, CAST(n - last_break AS BIGINT) AS rising_for, n - last_break >= 2 AS sustained FROM (
+  SELECT *, max(CASE WHEN before IS NULL OR value <= before THEN n END) OVER (PARTITION BY signal ORDER BY period) AS last_break FROM (
+    SELECT *, row_number() OVER (PARTITION BY signal ORDER BY period) AS n, lag(value) OVER (PARTITION BY signal ORDER BY period) AS before FROM (
+      SELECT period, unnest(['unclear_runs', 'unfinished_runs', 'agent_error_rate', 'turns']) AS signal,
+        unnest([CAST(unclear_runs AS DOUBLE), unfinished_runs, agent_error_rate, turns]) AS value FROM ({ORACLES["quality_trend"]}))))"""
+
+_PHASE_TOTALS = """SELECT CASE event_id % 4 WHEN 0 THEN 'classify' WHEN 1 THEN 'recheck' WHEN 2 THEN 'correlate' ELSE 'summarize' END AS phase,
+  count(*) AS records, CAST(sum(turns) AS BIGINT) AS turns, CAST(sum(duration_ms) AS BIGINT) AS duration_ms,
+  CAST(sum(duration_ms // 2) AS BIGINT) AS duration_api_ms, count(*) FILTER (is_error) AS errors,
+  CAST(sum(7) FILTER (tool = 'view') AS BIGINT) AS cache, CAST(sum(turns * 100) AS BIGINT) AS input, CAST(sum(event_id % 50) AS BIGINT) AS output
+  FROM phase_events GROUP BY 1"""
+_TOTALS_JSON = """(SELECT '{"records":' || records || ',"turns":' || turns || ',"duration_ms":' || duration_ms || ',"duration_api_ms":' || duration_api_ms ||
+  ',"errors":' || errors || ',"usage":{' || CASE WHEN cache IS NULL THEN '' ELSE '"cache_tokens":' || cache || ',' END || '"input_tokens":' || input ||
+  ',"output_tokens":' || output || '}}' FROM (%s) WHERE phase = '%s')"""
+ORACLES["phase_usage"] = compose(f"""SELECT phase, records, turns, duration_ms, duration_api_ms, errors, CASE WHEN cache IS NULL THEN '' ELSE
+  'cache_tokens=' || cache || ',' END || 'input_tokens=' || input || ',output_tokens=' || output AS usage FROM ({_PHASE_TOTALS})""")
+ORACLES["execution_stats_phases"] = compose(f"""SELECT agents, {_TOTALS_JSON % (_PHASE_TOTALS, 'correlate')} AS correlator_agent,
+  {_TOTALS_JSON % (_PHASE_TOTALS, 'summarize')} AS summarizer_agent FROM agents""")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from emberline import params
 from emberline.operators import history, report, rollup, stats
 from emberline.plans import inputs
-from emberline.sources import adapter
+from emberline.session import staging
+from emberline.sources import adapter, readers
 
 
 def phase_stats(spark, sf):
@@ -49,6 +50,30 @@ def quality_trend(spark, sf):
     return stats.quality_trend(inputs.failed_runs(spark, sf), inputs.verdicts(spark, sf), inputs.phases(spark, sf), 3)
 
 
+def quality_rises(spark, sf):
+    return stats.sustained_rises(quality_trend(spark, sf))
+
+
+def _phase_totals(spark, sf):
+    """Totals of the phases from their records in files."""
+    with staging(spark, "phases") as path:
+        adapter.phase_records(spark, sf).write.text(path)
+        return stats.phase_totals(readers.read_phase_stats(spark, path)).checkpoint()
+
+
+def phase_usage(spark, sf):
+    pairs = F.transform(F.array_sort(F.map_entries("usage")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return _phase_totals(spark, sf).withColumn("usage", F.array_join(pairs, ","))
+
+
+def execution_stats_phases(spark, sf):
+    """Execution statistics with both optional phases filled."""
+    totals, events = _phase_totals(spark, sf), adapter.phase_events(spark, sf)
+    optional = [totals.where(F.col("phase") == name).drop("phase") for name in ("correlate", "summarize")]
+    nested = stats.execution_stats(stats.phase_stats(events), events, "none", "1", *optional)
+    return nested.select("classifier_agents.agents", *[F.to_json(c).alias(c) for c in ("correlator_agent", "summarizer_agent")])
+
+
 def _parts(spark, sf):
     classified = adapter.classified(spark, sf)
     listed = rollup.category_list(classified).where(F.col("description") != "")
@@ -78,6 +103,7 @@ QUERIES = {
     "phase_stats": phase_stats, "phase_tool_counts": phase_tool_counts, "tool_calls": tool_calls,
     "turn_distribution": turn_distribution, "classifier_summary": classifier_summary,
     "execution_stats": execution_stats, "quality_signals": quality_signals, "quality_trend": quality_trend,
+    "quality_rises": quality_rises, "phase_usage": phase_usage, "execution_stats_phases": execution_stats_phases,
     "report_json": report_json, "report_md_rows": report_md_rows, "summary_text": summary_text,
     "empty_report": empty_report,
 }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -63,3 +65,14 @@ def shared_dir(spark: SparkSession) -> str:
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for one written intermediate."""
     return f"{shared_dir(spark).rstrip('/')}/emberline/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def staging(spark: SparkSession, name: str) -> Iterator[str]:
+    """A fresh path below the shared folder that is deleted afterwards: what leaves the block must not read it."""
+    path = staging_path(spark, name)
+    try:
+        yield path
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

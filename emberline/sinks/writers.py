@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.operators.ordering import with_position
 from emberline.params import BLOCK_JOBS, FAILED_JOB_COLUMNS
 
 CSV_ROWS_PER_FILE = 500_000
@@ -72,6 +73,48 @@ def write_run_document(pieces: DataFrame, path: str) -> None:
      .select("text").write.text(path))
 
 
+HEAD = ("# CI Failure Classification Progress", "", "## Categories So Far", "<!-- CATEGORIES START -->", "(none yet)",
+        "<!-- CATEGORIES END -->", "", "---", "")
+
+
+def pending_document(rows: DataFrame, block_jobs: int = BLOCK_JOBS) -> DataFrame:
+    """The whole new document for rows of the failed-job file: (run_pos, block_no, part, job_no, text).
+
+    Runs stand in the order of their first row and their jobs in the order of the rows, which are at `pos`; the
+    fields of a run come from its first row. Every run is pending and the results of its jobs are empty. The
+    head and the empty category list are one row before all others. A run of more than `block_jobs` jobs has
+    several blocks in a row, which `run_fields` makes one run of again.
+    """
+    numbered = with_position(rows, [F.col("pos")], "job_no", ["run_id"]).withColumn(
+        "block_no", F.floor((F.col("job_no") - 1) / block_jobs).cast("bigint"))
+    fields = [c for c in RUN_TEMPLATE if c != "status"]
+    runs = numbered.where("job_no = 1").select("run_id", F.col("pos").alias("run_pos"), F.struct(*fields).alias("run"))
+    ends = numbered.select("run_id", "block_no").distinct().join(runs, "run_id")
+    opener = F.concat_ws(
+        "\n", F.concat(F.lit("<!-- BEGIN RUN "), "run_id", F.lit(" -->")), F.concat(F.lit("## run_id: "), "run_id"),
+        _line("status", F.lit("pending")), *[_line(c, F.col("run")[c]) for c in fields], F.lit(""))
+    footer = F.concat(F.lit("<!-- END RUN "), "run_id", F.lit(" -->\n"))
+    none = F.lit(0).cast("bigint").alias("job_no")
+    frame = ends.select("run_pos", "block_no", F.inline(F.array(
+        F.struct(F.lit(0).alias("part"), none, opener.alias("text")), F.struct(F.lit(2).alias("part"), none, footer.alias("text")))))
+    known = {"job_conclusion": F.col("job_conclusion"), "step": F.col("failure_step")}
+    section = F.concat_ws("\n", F.concat(F.lit("#### job: `"), "failed_job_name", F.lit("`")),
+                          *[_line(label, known.get(c, F.lit(""))) for label, c in JOB_TEMPLATE], F.lit(""))
+    # the place of a run is one row a run; Spark splits the partitions of a run with very many jobs
+    sections = numbered.join(runs.select("run_id", "run_pos"), "run_id").select(
+        "run_pos", "block_no", F.lit(1).alias("part"), "job_no", section.alias("text"))
+    first = rows.sparkSession.range(1).select(
+        F.lit(None).cast(frame.schema["run_pos"].dataType).alias("run_pos"), F.lit(0).cast("bigint").alias("block_no"),
+        F.lit(0).alias("part"), none, F.lit("\n".join(HEAD)).alias("text"))
+    return first.unionByName(frame).unionByName(sections)
+
+
+def write_pending_document(pieces: DataFrame, path: str) -> None:
+    """The head, then the blocks in order; a block is never split over two files."""
+    order = [F.col("run_pos").asc_nulls_first(), F.col("block_no")]
+    (pieces.repartitionByRange(*order).sortWithinPartitions(*order, "part", "job_no").select("text").write.text(path))
+
+
 def category_lines(categories: DataFrame) -> DataFrame:
     """The category section, one line per category between its two markers."""
     bullet = F.concat(F.lit("- `"), F.col("category"), F.lit("`"),

@@ -278,3 +278,65 @@ def phase_events(spark: SparkSession, sf: str) -> DataFrame:
         (F.regexp_extract("props", r"(\d+)", 1).cast("bigint") % 10).alias("turns"),
         F.round(F.col("value") * 1000).cast("bigint").alias("duration_ms"),
         ((F.col("event_type") == "error") & (F.col("value") > 50)).alias("is_error"))
+
+
+# --- the same tables as files ------------------------------------------------------
+
+def _spoilt(record: Column, key: Column, broken: Column, keyless: Column) -> Column:
+    """JSON text of a record: cut in half where `broken` holds, without its key where `keyless` does."""
+    text = F.to_json(record)
+    return (F.when(broken, F.substring(text, F.lit(1), (F.length(text) / 2).cast("int")))
+            .when(keyless, F.replace(text, F.concat(F.lit('"'), key, F.lit('":')), F.lit('"other":'))).otherwise(text)).alias("value")
+
+
+def run_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs as JSON lines, some of them broken."""
+    rows = runs(spark, sf, ("failure", "cancelled")).drop("status")
+    no = F.col("run_id")
+    return rows.select(_spoilt(F.struct(*rows.columns), F.lit("run_id"), no % 17 == 0, no % 19 == 0))
+
+
+def job_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs with nested steps as JSON lines, some of them broken or with text for a number."""
+    rows = jobs(spark, sf).select("run_id", "job_seq", "job_id", "job_name", "conclusion", "completed_at", "steps")
+    no = F.col("job_id")
+    record = _spoilt(F.struct(*rows.columns), F.lit("job_id"), no % 17 == 0, no % 19 == 0)
+    text = F.replace(record, F.lit('"number":1'), F.lit('"number":"first"'))
+    return rows.select(F.when((no % 17 != 0) & (no % 23 == 0), text).otherwise(record).alias("value"))
+
+
+def commit_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw tab-separated commits: quotes, back-slashes and tabs in subjects, lines without a date or with a wrong one."""
+    rows = parts(spark, sf).select("partkey", F.md5(F.concat(F.lit("c"), F.col("partkey").cast("string"))).alias("sha")).join(
+        commits(spark, sf), "sha")
+    key, subject = F.col("partkey"), F.split("message", "\n")[0]
+    subject = (F.when(key % 5 == 0, F.concat(F.lit('"'), subject)).when(key % 5 == 1, F.concat(subject, F.lit("\\")))
+               .when(key % 5 == 2, F.concat(subject, F.lit("\twith a tab"))).otherwise(subject))
+    return rows.select(F.when(key % 11 == 0, F.concat_ws("\t", "sha", subject))
+                       .when(key % 13 == 0, F.concat_ws("\t", "sha", F.lit("yesterday"), subject))
+                       .otherwise(F.concat_ws("\t", "sha", "author_date", subject)).alias("value"))
+
+
+def pull_request_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw tab-separated open pull requests; some titles begin with a quote, some lines lack the `#` or the address."""
+    rows = pull_requests(spark, sf).where("state = 'open'")
+    key = F.col("number")
+    title = F.when(key % 4 == 0, F.concat(F.lit('"'), "title", F.lit(" only"))).when(key % 4 == 1, F.concat("title", F.lit("\tand \\"))).otherwise(F.col("title"))
+    number = F.concat(F.when(key % 10 == 7, "").otherwise("#"), key.cast("string"))
+    return rows.select(F.concat_ws("\t", number, "created", title, F.when(key % 10 != 3, F.col("url"))).alias("value"))
+
+
+def phase_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Execution records of all four phases with nested tool calls and usage, as JSON lines."""
+    no, turns = F.col("event_id"), F.regexp_extract("props", r"(\d+)", 1).cast("bigint") % 10
+    spent = F.round(F.col("value") * 1000).cast("bigint")
+    usage = F.map_concat(
+        F.create_map(F.lit("input_tokens"), (turns * 100).cast("string"), F.lit("service"), F.lit("standard"),
+                     F.lit("output_tokens"), (no % 50).cast("string")),
+        F.when(F.col("event_type") == "view", F.create_map(F.lit("cache_tokens"), F.lit("7"))).otherwise(
+            F.create_map().cast("map<string,string>")))
+    phase = F.element_at(F.array(*map(F.lit, ("classify", "recheck", "correlate", "summarize"))), (no % 4 + 1).cast("int"))
+    return table(spark, sf, "events").select(F.to_json(F.struct(
+        F.col("user_id").cast("string").alias("run_id"), phase.alias("phase"), turns.alias("turns"), spent.alias("duration_ms"),
+        F.expr("cast(round(value * 1000) as bigint) div 2").alias("duration_api_ms"), ((F.col("event_type") == "error") & (F.col("value") > 50)).alias("is_error"),
+        F.create_map(F.col("event_type"), F.lit(1)).alias("tool_calls"), usage.alias("usage"))).alias("value"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,25 +69,24 @@ def read_phase_stats(spark: SparkSession, path: str, fmt: str = "json") -> DataF
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Log text files named `{run}_{job}.log`, one row per line.
 
-    Lines are numbered from the reader's order inside each split plus the line counts of
-    the splits before it, so a large log is read by many tasks.
+    Lines are numbered from the reader's order inside each split plus the line counts of the splits before
+    it, added up per file, so a large log is read by many tasks. A log may also be a folder of that name
+    with several files, which follow each other by name.
     """
-    name = r"(\d+)_(\d+)\.log$"
+    name = r"(\d+)_(\d+)\.log(?:/[^/]*)?$"
+    path_of = F.col("_metadata.file_path")
     lines = (spark.read.text(path)
-             .select("value", F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("block"),
+             .select("value", path_of.alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.regexp_extract(path_of, name, 1).cast("bigint").alias("run_id"),
+                     F.regexp_extract(path_of, name, 2).cast("bigint").alias("job_id"),
                      F.monotonically_increasing_id().alias("tag")))
-    splits = lines.groupBy("file", "block").agg(F.min("tag").alias("first"), F.count("*").alias("n"))
-    # Splits of one file: bounded by file size over split size.
-    earlier = splits.alias("e").join(
-        splits.alias("s"), (F.col("e.file") == F.col("s.file")) & (F.col("e.block") < F.col("s.block")), "right") \
-        .groupBy(F.col("s.file").alias("file"), F.col("s.block").alias("block"), F.col("s.first").alias("first")) \
-        .agg(F.coalesce(F.sum("e.n"), F.lit(0)).alias("before"))
-    return (lines.join(earlier, ["file", "block"])
-            .select(F.regexp_extract("file", name, 1).cast("bigint").alias("run_id"),
-                    F.regexp_extract("file", name, 2).cast("bigint").alias("job_id"),
-                    (F.col("before") + F.col("tag") - F.col("first") + 1).alias("line_no"),
-                    F.col("value").alias("text")))
+    log = ["run_id", "job_id"]
+    splits = lines.groupBy(*log, "file", "block").agg(F.min("tag").alias("first"), F.count("*").alias("n"))
+    # The splits of one log: bounded by its size over the size of a split.
+    before = Window.partitionBy(*log).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return (lines.join(numbered.drop("n", *log), ["file", "block"])
+            .select(*log, (F.col("before") + F.col("tag") - F.col("first") + 1).alias("line_no"), F.col("value").alias("text")))
 
 
 def read_failed_jobs(spark: SparkSession, path: str) -> DataFrame:
@@ -119,11 +118,84 @@ def _failed_job_rows(spark: SparkSession, files: list[str]) -> DataFrame:
     return raw.select(pos.alias("pos"), *[column(name) for name in FAILED_JOB_COLUMNS])
 
 
+def read_tsv(spark: SparkSession, path: str, fields: list[str], free: str, checks: dict[str, str]) -> DataFrame:
+    """Lines of tab-separated fields without quoting: the fields, `raw`, `file` and the `problem` of malformed ones.
+
+    Quotes and back-slashes are ordinary characters, so a line is always one record. Surplus tabs belong to the
+    field `free`, the only one of free text. `checks` gives a pattern for each field that must have a form. `problem`
+    is null for good lines; empty lines are no records.
+    """
+    line = F.regexp_replace("value", "\\r$", "")
+    n, at, after = len(fields), fields.index(free), len(fields) - fields.index(free) - 1
+    rows = spark.read.text(path, lineSep="\n").select(
+        line.alias("raw"), F.split(line, "\t", -1).alias("parts"), F.col("_metadata.file_name").alias("file")).where("raw <> ''")
+    size = F.size("parts")
+    whole = F.array_join(F.slice("parts", F.lit(at + 1), F.greatest(size - (n - 1), F.lit(0))), "\t")
+    columns = [F.try_element_at("parts", F.lit(i + 1)) if i < at else whole if i == at else
+               F.try_element_at("parts", F.lit(i - at - after - 1)) for i in range(n)]
+    named = rows.select("raw", "file", size.alias("n_fields"), *[c.alias(f) for f, c in zip(fields, columns, strict=True)])
+    problem = F.when(F.col("n_fields") < n, "too few fields")
+    for field_name, form in checks.items():
+        problem = problem.when(~F.col(field_name).rlike(form), f"malformed {field_name}")
+    return named.select(*fields, "raw", "file", problem.alias("problem"))
+
+
+# Fixed patterns: the forms of the fields.
+TSV_DATE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
+COMMITS_TSV = (["sha", "author_date", "message"], "message", {"sha": "^[0-9a-f]+$", "author_date": TSV_DATE})
+PULL_REQUESTS_TSV = (["number", "created", "title", "url"], "title", {"number": "^#[0-9]{1,18}$", "created": TSV_DATE, "url": "^https?://"})
+
+
 def read_commits_tsv(spark: SparkSession, path: str, since: str) -> DataFrame:
-    """sha, author date and subject (first line of the message) since a date."""
-    raw = spark.read.csv(path, sep="\t", schema="sha STRING, author_date STRING, message STRING",
-                         escape='"', multiLine=True)
-    return commit_candidates(raw, since)
+    """sha, author date and subject (first line of the message) since a date; malformed lines are left out."""
+    return commit_candidates(read_tsv(spark, path, *COMMITS_TSV).where("problem is null"), since)
+
+
+def read_pull_requests_tsv(spark: SparkSession, path: str) -> DataFrame:
+    good = read_tsv(spark, path, *PULL_REQUESTS_TSV).where("problem is null")
+    return good.select(F.substring("number", 2, 18).cast("bigint").alias("number"), "created", "title", "url")
+
+
+def malformed_tsv(spark: SparkSession, path: str, form: tuple) -> DataFrame:
+    """The lines that the readers leave out: file, line and reason."""
+    return read_tsv(spark, path, *form).where("problem is not null").select("file", "raw", "problem")
+
+
+# --- JSON lines --------------------------------------------------------------------
+
+def read_checked_json(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """Records of JSON lines with `raw`, `file` and the `problem` of those that cannot be used.
+
+    A record is unreadable if it is no JSON or a field has another type than the schema says; it lacks a key if
+    one of `keys` is missing or null. `problem` is null for good records, so that both kinds come from one pass.
+    """
+    corrupt = "_unreadable"
+    wanted = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+    parsed = F.from_json("value", wanted, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
+    rows = spark.read.text(path).where("trim(value) <> ''").select(
+        F.col("value").alias("raw"), F.col("_metadata.file_name").alias("file"), parsed.alias("record"))
+    problem = F.when(F.col("record").isNull() | F.col(f"record.{corrupt}").isNotNull(), "unreadable")
+    for key in keys:
+        problem = problem.when(F.col(f"record.{key}").isNull(), f"no {key}")
+    return rows.select(*[F.col(f"record.{f}").alias(f) for f in schema.fieldNames()], "raw", "file", problem.alias("problem"))
+
+
+def good_records(checked: DataFrame) -> DataFrame:
+    return checked.where("problem is null").drop("raw", "file", "problem")
+
+
+def quarantined(checked: DataFrame) -> DataFrame:
+    """The records that were kept apart, with their file and reason."""
+    return checked.where("problem is not null").select("file", "raw", "problem")
+
+
+def read_runs_json(spark: SparkSession, path: str) -> DataFrame:
+    return read_checked_json(spark, path, RUN_SCHEMA, ["run_id", "conclusion"])
+
+
+def read_jobs_json(spark: SparkSession, path: str) -> DataFrame:
+    """Jobs of all conclusions with their nested steps; `good_records` and a filter give the failed ones."""
+    return read_checked_json(spark, path, JOB_SCHEMA, ["run_id", "job_id"])
 
 
 def commit_candidates(commits: DataFrame, since: str) -> DataFrame:
@@ -131,12 +203,6 @@ def commit_candidates(commits: DataFrame, since: str) -> DataFrame:
             .select("sha", "author_date", F.split("message", "\n")[0].alias("subject")))
 
 
-def read_pull_requests_tsv(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.csv(path, sep="\t", escape='"',
-                         schema="number STRING, created STRING, title STRING, url STRING")
-    return raw.withColumn("number", F.expr("try_cast(ltrim('#', number) AS BIGINT)"))
-
-
 def pull_request_candidates(pull_requests: DataFrame) -> DataFrame:
     return pull_requests.where(F.col("state") == "open").select("number", "created", "title", "url")
 
