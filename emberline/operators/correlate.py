@@ -162,3 +162,11 @@ def item_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("category").agg(
         F.count("*").alias("fixes"), F.count_if(F.col("confidence") == "match").alias("matches"),
         F.count_if(F.col("confidence") == "possible").alias("possible"))
+
+
+def with_items(categories: DataFrame, items: DataFrame) -> DataFrame:
+    """Each category with its fixes in report order as `fixes`; an empty array where it has none."""
+    listed = sorted_items(items).groupBy("category").agg(F.array_sort(F.collect_list(F.struct(
+        "position", "type", "id", "sha", "url", "title", "date", "confidence"))).alias("fixes"))
+    kind = listed.schema["fixes"].dataType
+    return categories.join(listed, "category", "left").withColumn("fixes", F.coalesce("fixes", F.array().cast(kind)))

@@ -225,6 +225,25 @@ def empty_report(selected_runs: DataFrame, date: str) -> DataFrame:
                                                   "unclear_runs", "total_jobs", "categories", "unfinished_runs")])
 
 
+def empty_forms(selected_runs: DataFrame, date: str, filters: dict[str, str]) -> DataFrame:
+    """The stub report as text, Markdown and JSON lines (form, line_no, line); no rows if there is a failed run.
+
+    `filters` names what the selection asked for and is repeated in Markdown and JSON. The lists of the JSON record are
+    there and empty, its counts are zero.
+    """
+    stub = empty_report(selected_runs, date)
+    counts = ("total_runs", "flake_runs", "real_failure_runs", "unclear_runs", "total_jobs")
+    nothing = F.array().cast("array<string>")
+    record = F.to_json(F.struct(
+        "date", "status", "message", F.struct(*[F.lit(v).alias(k) for k, v in filters.items()]).alias("filters"), *counts,
+        nothing.alias("categories"), nothing.alias("unfinished_runs")))
+    markdown = [F.lit("# CI failure report"), F.lit(""), F.concat(F.lit("Date: "), "date"), F.lit(""), F.col("message"), F.lit(""),
+                *[F.lit(f"- {name}: `{value}`") for name, value in filters.items()]]
+    forms = [F.struct(F.lit(form).alias("form"), F.lit(no).alias("line_no"), line.alias("line"))
+             for form, lines in (("text", [F.col("message")]), ("markdown", markdown), ("json", [record])) for no, line in enumerate(lines, 1)]
+    return stub.select(F.inline(F.array(*forms)))
+
+
 def write(parts: ReportParts, path: str, date: str) -> None:
     """Report folder: JSON lines, Markdown lines and the complete flat tables."""
     from emberline.sinks.writers import write_json_lines, write_report_lines

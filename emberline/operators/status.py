@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions.categories import has_valid_prefix
+
 # Fixed order of the states; a run only moves to the right, and `error` replaces only
 # `pending`, so any analysed state outranks it.
 STATUS_RANK = {"pending": 0, "error": 1, "classified": 2, "done": 3}
@@ -61,3 +63,11 @@ def promote(runs: DataFrame, from_status: str, to_status: str) -> DataFrame:
 
 def missing(all_runs: DataFrame, merged: DataFrame) -> DataFrame:
     return all_runs.join(merged.select("run_id"), "run_id", "left_anti")
+
+
+def has_categories(listed: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Whether a document has categories: listed ones with a description, or valid ones filled in at a job (one row)."""
+    # each side is one aggregated row
+    some = listed.agg((F.count("*") > 0).alias("listed"))
+    filled = jobs.agg((F.count_if(has_valid_prefix(F.col("category"))) > 0).alias("filled"))
+    return some.crossJoin(filled).withColumn("has_categories", F.col("listed") | F.col("filled"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from emberline.functions import categories as cat
 from emberline.operators import rollup, status
 from emberline.operators.ordering import with_position
+from emberline.params import FAILED_JOB_COLUMNS
 from emberline.plans.inputs import FAILED, failed_jobs, failed_runs
 from emberline.session import staging, staging_path
 from emberline.sinks import run_table, writers
@@ -83,6 +84,23 @@ def has_categories(spark, sf):
             .agg(F.bool_or(cat.has_valid_prefix(F.col("category"))).alias("has_categories")))
 
 
+def document_has_categories(spark, sf):
+    """Of the new document, of one with filled-in jobs and of one with its category list: whether it has categories."""
+    def state(name, listed, jobs):
+        return status.has_categories(listed, jobs).withColumn("document", F.lit(name))
+
+    with staging(spark, "pending") as new, staging(spark, "filled") as filled, staging(spark, "listed") as listed:
+        rows = failed_jobs(spark, sf).withColumn("pos", F.struct("run_started_at", "run_id", "job_seq", "job_id"))
+        rows = rows.select("pos", *[F.col(c).cast("string").alias(c) for c in FAILED_JOB_COLUMNS])
+        writers.write_pending_document(writers.pending_document(rows), new)
+        writers.write_run_document(writers.block_pieces(_block_input(spark, sf)), filled)
+        writers.write_category_section(category_list(spark, sf), listed)
+        jobs = {path: documents.job_rows(readers.read_run_document(spark, path)) for path in (new, filled)}
+        lists = {path: readers.parse_descriptions(readers.read_category_section(spark, path)) for path in (new, listed)}
+        return state("new", lists[new], jobs[new]).unionByName(state("filled", lists[new], jobs[filled])).unionByName(
+            state("listed", lists[listed], jobs[new])).checkpoint()
+
+
 def failing_branches(spark, sf):
     return failed_runs(spark, sf).where(F.col("branch") != "").select("branch").distinct()
 
@@ -171,7 +189,7 @@ QUERIES = {
     "render_run_blocks": render_run_blocks, "progress_run_blocks": progress_run_blocks,
     "pending_document_jobs": pending_document_jobs, "pending_document_head": pending_document_head,
     "progress_jobs": progress_jobs, "category_list": category_list,
-    "category_descriptions": category_descriptions, "has_categories": has_categories,
+    "category_descriptions": category_descriptions, "has_categories": has_categories, "document_has_categories": document_has_categories,
     "failing_branches": failing_branches, "runs_by_status": runs_by_status, "run_shas": run_shas,
     "merge_runs": merge_runs, "stored_runs": stored_runs, "streamed_status": streamed_status, "run_status_latest": run_status_latest, "unfinished_runs": unfinished_runs,
     "unmerged_runs": unmerged_runs, "status_counts": status_counts, "report_unfinished": report_unfinished,

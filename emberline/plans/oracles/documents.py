@@ -40,6 +40,9 @@ ORACLES = {
     "category_descriptions": compose(f"SELECT category AS full_category, description FROM ({_LIST}) WHERE description <> ''"),
     "has_categories": compose("""SELECT status, bool_or(regexp_matches(category, '^(test-flake|infra-flake|bug|build-error)/'))
         AS has_categories FROM classified GROUP BY status"""),
+    "document_has_categories": compose(f"""SELECT 'new' AS document, false AS listed, false AS filled, false AS has_categories
+        UNION ALL SELECT 'filled', false, b, b FROM (SELECT bool_or(regexp_matches(category, '^(test-flake|infra-flake|bug|build-error)/')) AS b FROM classified)
+        UNION ALL SELECT 'listed', b, false, b FROM (SELECT count(*) > 0 AS b FROM ({_LIST}) WHERE description <> '')"""),
     "failing_branches": compose("SELECT DISTINCT branch FROM bad_runs"),
     "runs_by_status": compose("SELECT run_id, status FROM bad_runs WHERE status = 'pending'"),
     "run_shas": compose("SELECT DISTINCT commit_sha FROM bad_runs"),

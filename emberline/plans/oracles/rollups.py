@@ -51,6 +51,9 @@ ORACLES = {
         LEFT JOIN (SELECT category, arg_min(description, pos) AS description FROM
             (SELECT full_category, any_value(category) AS category, arg_min(summary, pos) AS description, min(pos) AS pos
              FROM valid GROUP BY full_category) WHERE description <> '' GROUP BY category) n ON n.category = c.category"""),
+    "category_fix_items": compose("""SELECT c.category, count(i.category) AS n_fixes, coalesce(string_agg(concat_ws(' ', type, coalesce(sha, CAST(id AS VARCHAR)),
+          confidence, title), '; ' ORDER BY confidence <> 'match', -coalesce(epoch(CAST(date AS TIMESTAMPTZ)), 0), type, coalesce(sha, CAST(id AS VARCHAR))), '') AS fixes
+        FROM cats c LEFT JOIN items i ON i.category = c.category GROUP BY c.category"""),
     "categories_with_fixes": compose("""SELECT c.category, CAST(count(i.category) AS BIGINT) AS fixes,
         CAST(count(*) FILTER (i.confidence = 'match') AS BIGINT) AS matches,
         CAST(count(*) FILTER (i.confidence = 'possible') AS BIGINT) AS possible

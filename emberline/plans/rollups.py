@@ -142,7 +142,16 @@ def categories_with_fixes(spark, sf):
         "category", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("fixes", "matches", "possible")])
 
 
+def category_fix_items(spark, sf):
+    """Every category with its fixes attached, here written as one text."""
+    names = valid(spark, sf).select("category").distinct()
+    attached = correlate.with_items(names, inputs.fix_items(spark, sf))
+    parts = F.transform("fixes", lambda f: F.concat_ws(" ", f["type"], F.coalesce(f["sha"], f["id"].cast("string")), f["confidence"], f["title"]))
+    return attached.select("category", F.size("fixes").cast("bigint").alias("n_fixes"), F.array_join(parts, "; ").alias("fixes"))
+
+
 QUERIES = {
+    "category_fix_items": category_fix_items,
     "category_rollup": category_rollup, "flake_status": flake_status, "run_verdicts": run_verdicts,
     "report_totals": report_totals, "examples": examples, "last_occurred": last_occurred,
     "category_first_seen": category_first_seen, "affected_runs": affected_runs, "test_ids": test_ids,

@@ -99,7 +99,14 @@ def empty_report(spark, sf):
     return report.empty_report(later, params.REFERENCE_DATE)
 
 
+def empty_report_forms(spark, sf):
+    later = history.since(inputs.failed_runs(spark, sf), "2031-01-01")
+    return report.empty_forms(later, params.REFERENCE_DATE, {
+        "repository": params.REPOSITORY, "branch": ",".join(params.BRANCHES), "workflow": "*", "lookback_days": str(params.LOOKBACK_DAYS)})
+
+
 QUERIES = {
+    "empty_report_forms": empty_report_forms,
     "phase_stats": phase_stats, "phase_tool_counts": phase_tool_counts, "tool_calls": tool_calls,
     "turn_distribution": turn_distribution, "classifier_summary": classifier_summary,
     "execution_stats": execution_stats, "quality_signals": quality_signals, "quality_trend": quality_trend,
