@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from emberline import params
 from emberline.functions import categories as cat
 from emberline.functions.text import clean_log
-from emberline.operators import convergence, hunks, rollup, rules, signals, verdicts
+from emberline.operators import convergence, correlate, hunks, rollup, rules, signals, verdicts
 from emberline.plans.inputs import FAILED, categories, failed_runs, signal_jobs
-from emberline.sources import adapter
+from emberline.sources import adapter, readers
 
 SIMILAR_PERCENT = 70
 
@@ -89,13 +89,14 @@ def classify_failures(spark, sf):
     return _classify(spark, sf).drop("job_seq")
 
 
-def _from_logs(spark, sf):
+def _from_logs(spark, sf, judge=_classify):
     """Runs, jobs and logs through signals, verdicts and convergence: done rows under the winning names."""
     run_side = failed_runs(spark, sf).select("run_id", "run_url", "branch", "created_at",
                                              adapter.iso(F.col("created_at")).alias("run_started_at"))
     test = F.when(F.col("test_id") != "", F.concat(F.lit(" in "), F.col("test_id"))).otherwise("")
-    rows = (_classify(spark, sf).join(run_side, "run_id").withColumn("pos", adapter.position())
-            .withColumn("failed_test", F.col("test_id"))
+    judged = judge(spark, sf)
+    rows = (judged.join(run_side, "run_id").withColumn("pos", adapter.position())
+            .withColumn("failed_test", F.col("failed_test" if "failed_test" in judged.columns else "test_id"))
             .withColumn("summary", F.concat(F.col("job_name"), test, F.lit(": "), F.col("reason")))
             .checkpoint())
     named = rows.withColumn("category", cat.list_category(F.col("category")))
@@ -139,13 +140,28 @@ def failing_test_lists(spark, sf):
     return rules.test_lists(rules.named_tests(_rule_hits(spark, sf)))
 
 
-def classify_all_tests(spark, sf):
-    """Verdicts from the long logs, each with every failed test of its job."""
+def _classify_all(spark, sf):
     hits = _rule_hits(spark, sf).checkpoint()
     jobs = adapter.jobs(spark, sf).select("run_id", "job_id", "job_seq", "job_name", "conclusion", "steps").checkpoint()
     tests = rules.named_tests(hits).select("run_id", "job_id", "test_file").distinct()
     return verdicts.classify(adapter.runs(spark, sf), jobs, rules.job_signals(hits).checkpoint(),
-                             adapter.commit_files(spark, sf), tests=tests).drop("job_seq")
+                             adapter.commit_files(spark, sf), tests=tests)
+
+
+def classify_all_tests(spark, sf):
+    """Verdicts from the long logs, each with every failed test of its job."""
+    return _classify_all(spark, sf).drop("job_seq")
+
+
+def log_fix_report(spark, sf):
+    """From the long logs to the flat rows of the report: each converged category with its fixes, one row a fix."""
+    rows = _from_logs(spark, sf, _classify_all).withColumn("category", cat.list_category(F.col("category"))).withColumn(
+        "test_id", F.col("failed_test")).checkpoint()
+    cats = rollup.rollup(rollup.category_runs(rows)).select("category", "runs", "jobs", "example_error", "first_started_at").checkpoint()
+    terms = correlate.search_terms(cats, rollup.category_test_ids(rows)).checkpoint()
+    found = correlate.commit_candidates(readers.commit_candidates(adapter.log_commits(spark, sf), "1900-01-01"), params.GIT_BASE, params.REPOSITORY)
+    items = correlate.fix_items(correlate.match(terms, cats, found))
+    return cats.select("category", "runs", "jobs").join(items.select("category", "type", "sha", "date", "title", "confidence"), "category", "left")
 
 
 def context_hunks(spark, sf):
@@ -179,6 +195,6 @@ QUERIES = {
     "commit_touches_test": commit_touches_test, "systemic_failures": systemic_failures,
     "classify_failures": classify_failures, "similar_errors": similar_errors,
     "rule_hits": rule_hits, "rule_categories": rule_categories, "failing_test_lists": failing_test_lists,
-    "classify_all_tests": classify_all_tests, "context_hunks": context_hunks,
+    "classify_all_tests": classify_all_tests, "log_fix_report": log_fix_report, "context_hunks": context_hunks,
     "converge_categories": converge_categories, "renamed_categories": renamed_categories, "pipeline_report": pipeline_report,
 }

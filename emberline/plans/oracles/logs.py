@@ -4,7 +4,7 @@ Where possible the expected answer comes from the columns the log text was made
 from reading the text again with the same patterns.
 """
 
-from emberline.plans.oracles.base import compose
+from emberline.plans.oracles.base import _MATCH, CTES, compose
 
 _HISTORY = """
 SELECT branch, job_name, CAST(count(*) AS BIGINT) AS runs, CAST(count(*) FILTER (p) AS BIGINT) AS passed_runs,
@@ -136,7 +136,24 @@ won AS (SELECT name, first_value(name) OVER (PARTITION BY cluster ORDER BY runs
 final AS (SELECT r.* EXCLUDE (category), w.winner || substr(r.category, length(r.name) + 1) AS category, w.winner
   FROM rows_ r JOIN won w ON w.name = r.name)"""
 
+# The same from the long logs, with every failed test, and the commits that speak of the logs.
+_RENAMED_ALL = _RENAMED.replace(_CLASSIFY, _CLASSIFY_ALL)
+_OWN_TERMS = CTES["terms"].replace("FROM cat_tests", "FROM log_tests").replace("FROM cats", "FROM log_cats")
+_FIX_REPORT = f"""{_RENAMED_ALL},
+log_cats AS (SELECT winner AS category, count(DISTINCT run_id) AS runs, count(*) AS jobs, min(run_started_at) AS first_started_at,
+  coalesce(arg_min(error_message, pos) FILTER (error_message <> ''), '') AS example_error FROM final GROUP BY winner),
+log_tests AS (SELECT DISTINCT winner AS category, trim(t) AS test_id FROM (SELECT winner, unnest(string_split(failed_test, ',')) AS t FROM final) WHERE trim(t) <> ''),
+log_terms AS ({_OWN_TERMS}),
+log_commits AS (SELECT md5('g' || p.partkey) AS sha, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS author_date,
+  CASE p.partkey % 5 WHEN 0 THEN 'Stabilize TestPart' || (p.partkey % 89) WHEN 1 THEN 'Retry when connection refused on dial'
+    WHEN 2 THEN 'Allow for context deadline exceeded' WHEN 3 THEN 'Fix lost-node-' || (p.partkey % 25) ELSE 'Update the docs' END AS subject
+  FROM parts p JOIN orders o ON o.o_orderkey = p.partkey),
+log_fixes AS ({_MATCH.format(ref="sha", date="author_date", title="subject", source="log_commits",
+                             when="AND c.date >= k.first_started_at").replace("FROM terms t JOIN cats k", "FROM log_terms t JOIN log_cats k")})"""
+
 ORACLES = {
+    "log_fix_report": compose("""SELECT c.category, runs, jobs, CASE WHEN f.ref IS NOT NULL THEN 'commit' END AS type, f.ref AS sha, f.date, f.title, f.confidence
+        FROM log_cats c LEFT JOIN log_fixes f ON f.category = c.category""", _FIX_REPORT),
     "renamed_categories": compose("""SELECT run_id, job_id, category, is_flake, test_id AS failed_test, summary, 'done' AS status FROM final""",
                                   _RENAMED),
     "pipeline_report": compose("""SELECT winner AS category,

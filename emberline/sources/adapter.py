@@ -236,6 +236,20 @@ def commits(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(subject, F.lit("\n\nReviewed by the team")).alias("message"))
 
 
+def log_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """Commits that speak of what the logs say: a test, an error, a lost node, or nothing of it."""
+    subject = F.expr("""CASE partkey % 5
+        WHEN 0 THEN concat('Stabilize TestPart', partkey % 89)
+        WHEN 1 THEN 'Retry when connection refused on dial'
+        WHEN 2 THEN 'Allow for context deadline exceeded'
+        WHEN 3 THEN concat('Fix lost-node-', partkey % 25)
+        ELSE 'Update the docs' END""")
+    dates = table(spark, sf, "orders").select(F.col("o_orderkey").alias("partkey"), "o_orderdate")
+    return parts(spark, sf).join(dates, "partkey").select(
+        F.md5(F.concat(F.lit("g"), F.col("partkey").cast("string"))).alias("sha"),
+        iso(F.col("o_orderdate").cast("timestamp")).alias("author_date"), subject.alias("message"))
+
+
 def commit_files(spark: SparkSession, sf: str) -> DataFrame:
     """Files changed by the commit that triggered a run (one row per commit and file)."""
     keys = table(spark, sf, "orders").select("o_custkey").distinct()
