@@ -116,18 +116,29 @@ def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
     if not len(start):
         return np.zeros(0, np.uint64)
     size = (end - start).astype(np.int64)
-    stop = np.cumsum(size)
-    place = np.arange(stop[-1]) - np.repeat(stop - size, size)
-    byte = data[np.repeat(start, size) + place]
-    if lower:
-        byte = _FOLD[byte]
+    total, live = np.zeros(len(start), np.uint64), np.flatnonzero(size)
     with np.errstate(over="ignore"):
-        value = _PLACED[place & (_PLACES - 1), byte]
-        far = np.flatnonzero(place >= _PLACES)
-        if len(far):
-            value[far] = mix(value[far] + mix((place[far] // _PLACES).astype(np.uint64)))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
-        return mix(sums[stop] - sums[stop - size] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for place in range(_PLACES):  # most runs are short: few are left after some places
+            if not len(live):
+                break
+            byte = data.take(start[live] + place)
+            total[live] += _PLACED[place].take(_FOLD.take(byte) if lower else byte)
+            live = live[size[live] > place + 1]
+        if len(live):
+            _add_far(total, live, data, start, size, lower)
+        return mix(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _add_far(total: np.ndarray, long: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, lower: bool) -> None:
+    """Add the values of the places from _PLACES on of the long runs."""
+    count = size[long] - _PLACES
+    stop = np.cumsum(count)
+    place = np.arange(stop[-1]) - np.repeat(stop - count, count) + _PLACES
+    byte = data[np.repeat(start[long], count) + place]
+    value = _PLACED[place & (_PLACES - 1), _FOLD[byte] if lower else byte]
+    value = mix(value + mix((place // _PLACES).astype(np.uint64)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
+    total[long] += sums[stop] - sums[stop - count]
 
 
 def shingles(runs: Runs, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
