@@ -1,5 +1,6 @@
 import duckdb
 from brute import counts
+from pyspark.sql import functions as F
 
 from emberline.llm import mixing, queries, rules
 
@@ -44,18 +45,60 @@ def test_native_plans_have_no_python(spark):
         assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "Cartesian"))
 
 
-def test_mixing_meets_the_targets(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+def _cells(docs):
     base = docs.withColumn("n_tokens", mixing.n_tokens()).withColumn("topic", mixing.topic())
-    cells = base.groupBy(*mixing.MARGINS).agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "tokens")
-    fitted = mixing.rake(cells, sweeps=30, temper=0.5).toPandas()
-    fitted["weight"] = fitted.factor * fitted.tokens
-    total = fitted.tokens.sum()
-    for m in mixing.MARGINS:
-        share = fitted.groupby(m).tokens.sum() / total
-        wanted = share**0.5 / (share**0.5).sum()
-        got = fitted.groupby(m).weight.sum() / total
-        assert (abs(got - wanted) < 1e-3).all()
+    return base.groupBy(*mixing.MARGINS).agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "tokens")
+
+
+def test_mixing_meets_the_targets(spark):
+    cells = _cells(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).checkpoint()
+    shares = {"source": {"src0": 0.2, "src1": 0.0}, "lang": {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}}
+    for given in ({}, shares):
+        fitted = mixing.rake(cells, mixing.given_targets(cells, given), temper=0.5).toPandas()
+        fitted["weight"] = fitted.factor * fitted.tokens
+        total = fitted.tokens.sum()
+        assert fitted.gap.max() <= 1e-9
+        for m in mixing.MARGINS:
+            listed = given.get(m, {})
+            share = fitted.groupby(m).tokens.sum() / total
+            other = share[[v not in listed for v in share.index]] ** 0.5
+            wanted = other / other.sum() * (1 - sum(listed.values()))
+            got = fitted.groupby(m).weight.sum() / total
+            for value in share.index:
+                assert abs(got[value] - listed.get(value, wanted.get(value))) < 1e-9, (m, value)
+
+
+def test_kept_tokens_come_near_the_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    kept = mixing.mixed(docs).where("kept").groupBy("lang").sum("n_tokens").toPandas().set_index("lang")["sum(n_tokens)"]
+    for lang, share in mixing.MIX_TARGETS["lang"].items():
+        assert abs(kept[lang] / kept.sum() - share) < 0.02
+
+
+def test_odd_targets(spark):
+    cells = spark.createDataFrame([("a", "x", None, 10), ("b", "x", None, 30), (None, "x", "t", 60), ("c", None, "t", 0)],
+                                  "source string, lang string, topic string, tokens long")
+
+    def sums(rows):
+        table = spark.createDataFrame(rows, "margin string, value string, weight double")
+        fitted = mixing.rake(cells, table, temper=1.0).collect()
+        return {r.source: round(r.factor * r.tokens, 6) for r in fitted}
+
+    source = lambda *rows: [("source", v, w) for v, w in rows]
+    free = [("topic", None, None)]
+    assert sums([]) == {"a": 10, "b": 30, None: 60, "c": 0}
+    assert sums(source((None, 0.6), ("a", 0.05), ("a", 0.05))) == {"a": 10, "b": 30, None: 60, "c": 0}
+    # more than 1 in all is scaled, and shares of values that don't occur go to the others
+    assert sums(source((None, 1.2), ("a", 0.2), ("b", 0.6))) == {"a": 10, "b": 30, None: 60, "c": 0}
+    assert sums(source((None, 0.3), ("a", 0.05), ("b", 0.15), ("z", 0.5))) == {"a": 10, "b": 30, None: 60, "c": 0}
+    # the topic without a name is wanted no more: its sources go to 0
+    assert sums(free) == {"a": 0, "b": 0, None: 100, "c": 0}
+
+
+def test_topic_of_a_column(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("form", F.col("doc_id") % 3)
+    rows = mixing.mixed(docs, by=F.col("form")).collect()
+    assert all(r.topic == str(r.doc_id % 3) for r in rows) and len(rows) == docs.count()
 
 
 def test_mixing_odd_rows(odd_docs, no_docs):
