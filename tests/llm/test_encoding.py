@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -56,6 +57,49 @@ def test_chunks_of_the_table(spark):
     assert got == {r.doc_id: digests(r.text) for r in docs.collect()}
 
 
+def contextual(part):
+    """Ids of words that depend on all words back to the last "stop", and the characters they come from."""
+    ids, offsets, state = [], [], 0
+    for m in re.finditer(r"\S+", part.decode()):
+        state = 0 if m[0] == "stop" else zlib.crc32(m[0].encode(), state)
+        ids.append(state)
+        offsets.append(m.span())
+    return ids, offsets
+
+
+def test_joins_widen_until_both_sides_agree():
+    words = " ".join(f"w{i}" for i in range(40))
+    text = f"before the {words} stop again {words} stop last one".encode()
+    a, b = text.index(b"w3 "), len(text)
+    place, n = bpe_chunks.join_head(contextual, text, a, b, 0)
+    ids, offsets = contextual(text[a:b])
+    whole = contextual(text)[0]
+    assert n > 20 and ids[n:] == whole[-len(ids[n:]):] and a + offsets[n][0] >= place
+    assert bpe_chunks.join_head(contextual, text, a, text.index(b" stop"), 0) is None
+    assert bpe_chunks.join_head(contextual, text, 0, 50, 0) == (0, 0)
+
+    def backward(part):
+        ids, offsets = contextual(part[::-1])
+        return ids[::-1], [(len(part) - e, len(part) - s) for s, e in offsets[::-1]]
+
+    turned = text[::-1].replace(b"pots", b"stop"[::-1])
+    b = len(turned) - a
+    place, n = bpe_chunks.join_tail(backward, turned, 0, b)
+    assert n > 20 and place < b and backward(turned[:b])[0][:-n] == backward(turned)[0][:len(backward(turned[:b])[0]) - n]
+    assert bpe_chunks.join_tail(backward, turned, 0, len(turned)) == (len(turned), 0)
+
+
+def test_share_of_reused_ids(spark, no_docs):
+    draw = random.Random(5)
+    body = " ".join(f"tok{draw.randint(0, 9999)}x" for _ in range(4000))
+    docs = spark.createDataFrame([(i, f"{i} own words {body}") for i in range(8)], "doc_id LONG, text STRING")
+    path = tokenizer_path(MERGE_TOKENIZER)
+    row = bpe_chunks.reuse(docs, path).first()
+    assert row.n_ids == sum(digests(r.text)[0] for r in docs.collect())
+    assert 0.9 * row.n_ids < row.n_reused < row.n_ids and 20 < row.n_chunks < 200
+    assert tuple(bpe_chunks.reuse(no_docs, path).first()) == (0, 0, 0)
+
+
 def test_chunk_ends_are_those_of_characters_and_of_content():
     draw = random.Random(3)
     body = "".join(draw.choice("aé中👍 bc") for _ in range(20_000))
