@@ -67,6 +67,12 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/emberline/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def staging(spark: SparkSession, name: str) -> Iterator[str]:
     """A fresh path below the shared folder that is deleted afterwards: what leaves the block must not read it."""
@@ -74,5 +80,4 @@ def staging(spark: SparkSession, name: str) -> Iterator[str]:
     try:
         yield path
     finally:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        discard(spark, path)
