@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import bpe_chunks, lines, minhash, mixing, queries, rules, store
-from emberline.session import staging_path
+from emberline.session import discard, staging_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,12 +58,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, each written and read again; gives the last one's rows."""
+    """The stages one after another, each written and read again; gives the last one's rows.
+
+    A stage's folder is deleted when the next one is written; that of the last stays, as the result reads it.
+    """
     store.session(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = staging_path(spark, f"pipeline-{name}-{uuid.uuid4().hex[:8]}")
         made = stage(spark, docs, sf_dir)
         made.write.parquet(path)
         docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
