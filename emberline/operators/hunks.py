@@ -16,13 +16,15 @@ def context_hunks(lines: DataFrame, pattern: str, context: int = GREP_CONTEXT) -
     width: hits of one bucket always belong together, and those of two buckets only if these are neighbours, so a
     bucket is reduced to its first and last hit before the shuffle. A bucket that no neighbour continues begins or ends
     a hunk, found by a join on the bucket number. The n-th begin and the n-th end of a log are one hunk: both are
-    numbered by a range sort, so no task holds the hits of a whole log. Lines are numbered from 1.
+    numbered by a range sort, so no task holds the hits of a whole log. Lines are numbered from 1. The lines are read
+    once: those without a hit are one more bucket of their log, without a number, which only tells its length.
     """
     reach = 2 * context + 1
     key = ["run_id", "job_id"]
-    buckets = (lines.where(F.col("text").rlike(pattern))
-               .groupBy(*key, F.floor(F.col("line_no") / reach).cast("bigint").alias("bucket"))
-               .agg(F.min("line_no").alias("first_hit"), F.max("line_no").alias("last_hit"), F.count("*").alias("hits"))).checkpoint()
+    bucket = F.when(F.col("text").rlike(pattern), F.floor(F.col("line_no") / reach).cast("bigint"))
+    logs = (lines.groupBy(*key, bucket.alias("bucket"))
+            .agg(F.min("line_no").alias("first_hit"), F.max("line_no").alias("last_hit"))).checkpoint()
+    buckets = logs.where("bucket is not null")
     earlier = buckets.select(*key, (F.col("bucket") + 1).alias("bucket"), F.col("last_hit").alias("hit_before"))
     later = buckets.select(*key, (F.col("bucket") - 1).alias("bucket"), F.col("first_hit").alias("hit_after"))
     near = buckets.join(earlier, [*key, "bucket"], "left").join(later, [*key, "bucket"], "left")
@@ -34,7 +36,7 @@ def context_hunks(lines: DataFrame, pattern: str, context: int = GREP_CONTEXT) -
     ends = near.where(apart(F.col("hit_after") - F.col("last_hit"))).select(*key, "bucket", "last_hit")
     begins = with_position(begins, [F.col("bucket")], "hunk_no", key).drop("bucket")
     ends = with_position(ends, [F.col("bucket")], "hunk_no", key).drop("bucket")
-    length = lines.groupBy(*key).agg(F.max("line_no").alias("n_lines"))
+    length = logs.groupBy(*key).agg(F.max("last_hit").alias("n_lines"))
     return begins.join(ends, [*key, "hunk_no"]).join(length, key).select(
         *key, "hunk_no", F.greatest(F.lit(1), F.col("first_hit") - context).alias("first_line"),
         F.least("n_lines", F.col("last_hit") + context).alias("last_line"))
