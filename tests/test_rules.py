@@ -4,8 +4,10 @@ import random
 
 import pytest
 from helpers import values
+from pyspark.sql import functions as F
 
 from emberline.operators import hunks, rules, signals
+from emberline.sources import adapter
 
 LOG = "run_id LONG, job_id LONG, line_no LONG, text STRING"
 LINES = ["\u001b[31m[FAIL]\u001b[0m x [It] y [42, slow]", "[\u001b[1mFAIL\u001b[0m] split by colours", "2026-02-18T00:00:00Z --- FAIL: TestA (0.1s)", "FAIL\tpkg/a",
@@ -100,3 +102,36 @@ def test_one_log_of_many_lines(spark, table):
     got = hunks.context_hunks(log, "hit", 5)
     assert got.count() == len(brute_hunks({7, *range(13, 30_001, 13)}, 30_000, 5))
     assert got.agg({"hunk_no": "max"}).first()[0] == got.count()
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_lines_are_read_once_for_hunks(spark):
+    log = spark.range(1, 100).selectExpr("1L AS run_id", "2L AS job_id", "id AS line_no", "if(id = 50, 'hit', 'x') AS text")
+    got = hunks.context_hunks(log, "hit", 5)
+    assert "Range (" not in plan(got)
+    assert values(got, "hunk_no", "first_line", "last_line") == [(1, 45, 55)]
+
+
+def test_the_hits_are_gone_through_once_for_the_signals(spark):
+    log = spark.range(1, 100).selectExpr("1L AS run_id", "2L AS job_id", "id AS line_no", "if(id % 40 = 0, 'FAIL src/a' || id || '.test.ts > A', 'x') AS text")
+    found = rules.job_signals(rules.hit_lines(log, rules.builtin_rules(spark)))
+    assert plan(found).count("Range (") == 1
+    assert [(t, sorted(f)) for t, f in values(found, "test_id", "test_files")] == [("A", ["src/a40.test.ts", "src/a80.test.ts"])]
+
+
+def test_long_anchors_are_one_search(spark, table):
+    names = ["a.b", "a.bc", "(x", "ab", "é+\U0001f600z", "Q[1]", "x\ty"]
+    text = ["za.by", "axb", "a(x", "é+\U0001f600z!", "é+z", "Q[1]", "Q1", "x\ty", "x y", "", None]
+    found = rules._any_of(F.col("text"), names)
+    assert str(found).count("contains") == 2
+    rows = table([(i, t) for i, t in enumerate(text)], "i INT, text STRING").where(found)
+    assert [i for i, in values(rows, "i")] == [i for i, t in enumerate(text) if t and any(n in t for n in names)]
+
+
+def test_the_time_of_a_log_line_is_made_once_a_job(spark):
+    lines = adapter.long_log_lines(spark, "/root/testdata/sf0.001")
+    by_job = plan(lines).split("Generate explode(sequence")[-1]
+    assert plan(lines).count("date_format") == by_job.count("date_format") > 0
