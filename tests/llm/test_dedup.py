@@ -43,6 +43,30 @@ def test_near_duplicates_equal_all_pairs(spark, copies):
     assert found(docs) == near_duplicates([(r.doc_id, r.text) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("percent", [5, 30])
+def test_low_thresholds_lose_no_link(spark, percent):
+    draw = np.random.default_rng(percent)
+    base = [f"w{i}" for i in range(80)]
+    docs = [(n, changed(base[:60], 6 if percent == 30 else 14, draw)) for n in range(12)]
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id LONG, text STRING"), percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == near_duplicates(docs, percent)
+
+
+@pytest.mark.parametrize("percent", [1, 30, 50, 85, 95, 99])
+def test_bands_miss_a_pair_at_the_threshold_no_oftener_than_asked(percent):
+    bands, rows = minhash.banding(percent, 1e-9)
+    assert (1 - (percent / 100) ** rows) ** bands <= 1e-9
+
+
+def test_rows_of_one_id_with_different_texts_keep_their_links(spark):
+    words = [f"w{i}" for i in range(100)]
+    near, other = " ".join([*words[:-1], "x"]), " ".join(f"o{i}" for i in range(100))
+    docs = [(5, " ".join(words)), (5, other), (9, near), (7, other + " y")]
+    df = spark.createDataFrame(docs, "doc_id LONG, text STRING").coalesce(1)
+    rows = minhash.near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(5, 5), (5, 5), (7, 5), (9, 5)]
+
+
 def test_open_pairs_of_blocks_are_compared(spark, copies, monkeypatch):
     """One round with one member each, then blocks of four rows: nothing may be lost."""
     monkeypatch.setattr(minhash, "STAR_ROUNDS", 1)
