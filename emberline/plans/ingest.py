@@ -9,7 +9,7 @@ from emberline.operators import history
 from emberline.operators.ordering import with_position
 from emberline.plans.inputs import FAILED, failed_jobs, failed_runs, lookback_start, with_iso
 from emberline.session import staging, staging_path
-from emberline.sinks.writers import write_failed_jobs
+from emberline.sinks.writers import write_failed_jobs, write_lines
 from emberline.sources import adapter, readers
 from emberline.sources.readers import read_failed_jobs
 
@@ -101,31 +101,33 @@ def csv_roundtrip(spark, sf):
 
 
 def _through_files(spark, name, lines, read):
-    """Rows read from text files that are deleted again."""
+    """Rows read from text files that are deleted again. `read` should leave only what the result needs."""
     with staging(spark, name) as path:
-        lines.write.text(path)
+        write_lines(lines, path)
         return read(spark, path).checkpoint()
 
 
 def json_runs(spark, sf):
-    checked = _through_files(spark, "runs", adapter.run_records(spark, sf), readers.read_runs_json)
-    return with_iso(history.select_runs(readers.good_records(checked), "failure", branch="main", event="push", workflow="ci.yaml"))
+    return with_iso(_through_files(spark, "runs", adapter.run_records(spark, sf), lambda s, p: history.select_runs(
+        readers.good_records(readers.read_runs_json(s, p)), "failure", branch="main", event="push", workflow="ci.yaml")))
 
 
 def json_jobs(spark, sf):
-    checked = _through_files(spark, "jobs", adapter.job_records(spark, sf), readers.read_jobs_json)
-    jobs = history.failed(readers.good_records(checked))
-    return jobs.select("run_id", "job_id", "job_name", "conclusion", F.coalesce(adapter.iso(F.col("completed_at")), F.lit("")).alias("completed_at"),
-                       history.first_failed_step(F.col("steps")).alias("failure_step"))
+    def read(spark, path):
+        return history.failed(readers.good_records(readers.read_jobs_json(spark, path))).select(
+            "run_id", "job_id", "job_name", "conclusion", F.coalesce(adapter.iso(F.col("completed_at")), F.lit("")).alias("completed_at"),
+            history.first_failed_step(F.col("steps")).alias("failure_step"))
+    return _through_files(spark, "jobs", adapter.job_records(spark, sf), read)
 
 
 def json_quarantine(spark, sf):
     """Records of both sources that cannot be used, by reason, beside the good ones."""
-    runs = _through_files(spark, "runs", adapter.run_records(spark, sf), readers.read_runs_json)
-    jobs = _through_files(spark, "jobs", adapter.job_records(spark, sf), readers.read_jobs_json)
-    both = [checked.select(F.lit(name).alias("source"), F.coalesce("problem", F.lit("good")).alias("state"))
-            for name, checked in (("runs", runs), ("jobs", jobs))]
-    return both[0].unionByName(both[1]).groupBy("source", "state").agg(F.count("*").alias("records"))
+    def counted(name, lines, read):
+        state = F.coalesce("problem", F.lit("good")).alias("state")
+        return _through_files(spark, name, lines, lambda s, p: read(s, p).groupBy(F.lit(name).alias("source"), state).agg(
+            F.count("*").alias("records")))
+    return counted("runs", adapter.run_records(spark, sf), readers.read_runs_json).unionByName(
+        counted("jobs", adapter.job_records(spark, sf), readers.read_jobs_json))
 
 
 def commits_tsv(spark, sf):

@@ -9,6 +9,15 @@ from emberline.operators.ordering import with_position
 from emberline.params import BLOCK_JOBS, FAILED_JOB_COLUMNS
 
 CSV_ROWS_PER_FILE = 500_000
+LINES_PER_FILE = 500_000
+# Files that are made only to be read back: repeated labels and keys take a fraction of their size. A compressed file is read
+# by one task, so the writers keep each file small.
+STAGED = "gzip"
+
+
+def write_lines(lines: DataFrame, path: str, compression: str = STAGED) -> None:
+    """Lines without an order, in compressed files of a bounded number of lines."""
+    lines.write.option("maxRecordsPerFile", LINES_PER_FILE).text(path, compression=compression)
 
 
 def write_failed_jobs(rows: DataFrame, path: str) -> None:

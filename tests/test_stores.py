@@ -1,11 +1,14 @@
 """Stored runs, the compacted status table, the new document, checked readers and statistics over files."""
 
+from pathlib import Path
+
 import pytest
 from helpers import values
 from pyspark.sql import functions as F
 
 from emberline.operators import stats
 from emberline.params import FAILED_JOB_COLUMNS
+from emberline.plans import ingest
 from emberline.sinks import run_table, writers
 from emberline.sources import documents, readers
 from emberline.streaming import status_table
@@ -133,3 +136,16 @@ def test_usage_is_added_up_by_key(table):
     got = stats.phase_totals(table(rows, "phase STRING, turns LONG, duration_ms LONG, duration_api_ms LONG, is_error BOOLEAN, usage MAP<STRING, STRING>"))
     assert {r.phase: (r.records, r.turns, r.duration_api_ms, r.errors, r.usage) for r in got.collect()} == {
         "a": (2, 3, 5, 1, {"in": 7, "out": 1}), "b": (2, 2, 2, 0, {})}
+
+
+def test_staged_lines_are_small_and_whole(spark):
+    lines = spark.range(20_000).select(F.to_json(F.struct("id", F.lit("success").alias("conclusion"), F.array(
+        F.lit("checkout"), F.lit("build"), F.lit("test")).alias("steps"))).alias("value"))
+    sizes = []
+
+    def read(session, path):
+        sizes.append(sum(f.stat().st_size for f in Path(path.removeprefix("file:")).rglob("part-*")))
+        return session.read.text(path)
+
+    assert values(ingest._through_files(spark, "lines", lines, read)) == values(lines)
+    assert sizes[0] * 4 < sum(len(r.value) + 1 for r in lines.collect())
