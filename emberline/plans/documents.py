@@ -29,7 +29,7 @@ def render_run_blocks(spark, sf):
 
 def _written_blocks(spark, sf):
     path = staging_path(spark, "progress")
-    writers.write_run_document(writers.block_pieces(_block_input(spark, sf)), path)
+    writers.write_run_document(writers.block_pieces(_block_input(spark, sf)), path, writers.STAGED)
     return readers.read_run_document(spark, path)
 
 

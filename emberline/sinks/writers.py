@@ -74,12 +74,12 @@ def block_pieces(jobs: DataFrame) -> DataFrame:
     return frame.unionByName(sections)
 
 
-def write_run_document(pieces: DataFrame, path: str) -> None:
+def write_run_document(pieces: DataFrame, path: str, compression: str = "none") -> None:
     """Newest run first; a block is never split over two files."""
     order = [F.desc("created_at"), F.col("run_id"), F.col("block_no")]
     (pieces.repartitionByRange(*order)
      .sortWithinPartitions(*order, "part", "job_seq", "job_key")
-     .select("text").write.text(path))
+     .select("text").write.text(path, compression=compression))
 
 
 HEAD = ("# CI Failure Classification Progress", "", "## Categories So Far", "<!-- CATEGORIES START -->", "(none yet)",

@@ -103,7 +103,8 @@ def classified(spark: SparkSession, sf: str) -> DataFrame:
     """The fact table: one row per failed job of a failed run, with its classification.
 
     Jobs meet parts first and runs last, so the result leaves the join partitioned by
-    `run_id` and the (category, run) roll-up needs no further exchange.
+    `run_id` and the (category, run) roll-up needs no further exchange. Nested steps and long
+    texts do not travel through the joins.
     """
     failed = ("failure", "cancelled")
     odd = F.col("suppkey") % 2 == 0
@@ -114,29 +115,29 @@ def classified(spark: SparkSession, sf: str) -> DataFrame:
     prefix = F.expr("""CASE p_type WHEN 'STANDARD' THEN 'test-flake/' WHEN 'ECONOMY' THEN 'infra-flake/'
         WHEN 'PROMO' THEN 'bug/' WHEN 'SMALL' THEN 'build-error/'
         WHEN 'MEDIUM' THEN 'test-flake/systemic-' ELSE 'misc/' END""")
-    detail = jobs(spark, sf, failed).join(parts(spark, sf), "partkey").select(
-        "run_id", "job_seq", "job_id", "job_name",
-        F.col("conclusion").alias("job_conclusion"),
-        F.try_element_at(F.filter("steps", lambda s: s["conclusion"] == "failure"), F.lit(1))["name"]
-         .alias("failed_step"),
+    failed_step = F.try_element_at(F.filter("steps", lambda s: s["conclusion"] == "failure"), F.lit(1))["name"]
+    rows = jobs(spark, sf, failed).withColumn("failed_step", failed_step).drop("steps")
+    detail = rows.join(parts(spark, sf), "partkey").select(
+        "run_id", "job_seq", "job_id", "job_name", F.col("conclusion").alias("job_conclusion"), "failed_step",
         F.concat(prefix, F.col("brand_slug"),
                  F.when(odd, F.concat(F.lit("/"), test)).otherwise("")).alias("category"),
         F.when((F.col("suppkey") % 17 == 0) & F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3"), "")
          .when(real, "no").otherwise("yes").alias("is_flake"),
         F.when(F.col("suppkey") % 3 == 0, "").when(F.col("suppkey") % 3 == 1, test)
          .otherwise(F.concat(test, F.lit(", "), second)).alias("test_id"),
-        F.when(F.col("suppkey") % 5 == 0, "").otherwise(
-            F.concat(F.lit("error in "), "p_name", F.lit(" after "),
-                     F.col("qty").cast("string"), F.lit("s"))).alias("error_message"),
-        F.when(F.col("suppkey") % 7 == 0, "").otherwise(
-            F.concat(F.lit("Job "), "job_name", F.lit(" failed on "), "p_name")).alias("summary"),
+        "suppkey", "p_name", "qty",
     )
+    error_message = F.when(F.col("suppkey") % 5 == 0, "").otherwise(
+        F.concat(F.lit("error in "), "p_name", F.lit(" after "), F.col("qty").cast("string"), F.lit("s")))
+    summary = F.when(F.col("suppkey") % 7 == 0, "").otherwise(
+        F.concat(F.lit("Job "), "job_name", F.lit(" failed on "), "p_name"))
     run_side = runs(spark, sf, failed).select(
         "run_id", "run_url", "branch", "event", "commit_sha", "created_at",
         iso(F.col("created_at")).alias("run_started_at"), "run_attempt", "status")
-    return (detail.join(run_side, "run_id")
-            .withColumn("failed_step", F.coalesce("failed_step", F.lit("")))
-            .withColumn("pos", position()))
+    return detail.join(run_side, "run_id").select(
+        "run_id", "job_seq", "job_id", "job_name", "job_conclusion", F.coalesce("failed_step", F.lit("")).alias("failed_step"),
+        "category", "is_flake", "test_id", error_message.alias("error_message"), summary.alias("summary"),
+        *[c for c in run_side.columns if c != "run_id"], position().alias("pos"))
 
 
 def position() -> Column:

@@ -1,8 +1,14 @@
+import contextlib
+import io
+from pathlib import Path
+from urllib.parse import unquote, urlparse
+
 from helpers import values
 from pyspark.sql import functions as F
 
 from emberline.operators import history
 from emberline.plans import documents as plans
+from emberline.plans.inputs import failed_jobs
 from emberline.sinks import writers
 from emberline.sources import adapter, documents, readers
 
@@ -169,3 +175,20 @@ def test_tsv_candidates_and_fixes(spark, tmp_path):
     assert values(fixes.select("category", F.inline("items")).select("category", "id")) == [("bug/a", 3)]
     (tmp_path / "bad.json").write_text('{"fixes": [{"cat')
     assert readers.read_fixes(spark, str(tmp_path / "bad.json")).count() == 0
+
+
+def test_documents_of_queries_are_written_small(spark):
+    blocks = plans._written_blocks(spark, SF)
+    sizes = [Path(unquote(urlparse(f).path)).stat().st_size for f in blocks.inputFiles()]
+    rows = plans._block_input(spark, SF)
+    assert sum(sizes) * 3 < writers.block_pieces(rows).agg(F.sum(F.length("text"))).first()[0]
+    assert documents.job_rows(blocks).count() == rows.count()
+
+
+def test_steps_and_texts_do_not_travel_through_joins(spark):
+    for frame in (adapter.classified(spark, SF), failed_jobs(spark, SF)):
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            frame.explain()
+        before_join = text.getvalue().split("Join", 1)[1]
+        assert "AS steps" not in before_join and "error in" not in before_join and " failed on " not in before_join
