@@ -36,6 +36,22 @@ def with_position(df: DataFrame, order: list[Column], name: str,
             .withColumn(name, F.col("_index") - F.col("_first") + 1).drop("_index", "_first"))
 
 
+def with_read_position(df: DataFrame, split: list[Column], name: str) -> DataFrame:
+    """Add the 1-based position of rows as they stand in files: splits in the order of `split`, each in reading order.
+
+    For rows that come straight from a reader. They are read twice, but neither sorted, shuffled nor stored: the rows
+    of a split are counted and the counts added up.
+    """
+    keys = [f"_split{i}" for i in range(len(split))]
+    tagged = df.select("*", *[c.alias(k) for c, k in zip(split, keys, strict=True)], F.monotonically_increasing_id().alias("_tag"))
+    # One row per split.
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (tagged.groupBy(*keys).agg(F.min("_tag").alias("_first"), F.count("*").alias("_n"))
+              .select(*keys, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset")))
+    return (tagged.join(F.broadcast(starts), keys)
+            .withColumn(name, F.col("_tag") + F.col("_offset")).drop(*keys, "_tag", "_offset"))
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first `n` rows of each key; Spark limits each group before the shuffle too."""
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import categories as cat
 from emberline.operators import rollup, status
-from emberline.operators.ordering import with_position
+from emberline.operators.ordering import with_read_position
 from emberline.params import FAILED_JOB_COLUMNS
 from emberline.plans.inputs import FAILED, failed_jobs, failed_runs
 from emberline.session import staging, staging_path
@@ -43,18 +43,22 @@ def progress_jobs(spark, sf):
         "failed_test", "error_message", "summary")
 
 
-def _new_document(spark, sf, read):
-    """The failed-job file of all rows, the new document made from it, and what `read` finds there, in a checkpoint."""
-    with staging(spark, "failed-jobs") as csv, staging(spark, "pending") as path:
-        writers.write_failed_jobs(failed_jobs(spark, sf).withColumn("pos", F.struct("run_id", "job_seq", "job_id")), csv)
-        writers.write_pending_document(writers.pending_document(readers.read_failed_jobs(spark, csv)), path)
-        return read(path).checkpoint()
+def _write_new_document(spark, sf, path):
+    """The failed-job file of all rows, and the new document made from it."""
+    with staging(spark, "failed-jobs") as csv:
+        writers.write_failed_jobs(failed_jobs(spark, sf).withColumn("pos", F.struct("run_id", "job_seq", "job_id")), csv, writers.STAGED)
+        writers.write_pending_document(writers.pending_document(readers.read_failed_jobs(spark, csv)), path, writers.STAGED)
 
 
 def pending_document_jobs(spark, sf):
-    """Every job section of the new document with its place in it and the fields of its run."""
-    rows = _new_document(spark, sf, lambda path: documents.job_rows(readers.read_run_document(spark, path)))
-    return with_position(rows, [F.col("pos")], "position").drop("pos")
+    """Every job section of the new document with its place in it and the fields of its run.
+
+    The document stays in the shared folder, as the result reads it.
+    """
+    path = staging_path(spark, "pending")
+    _write_new_document(spark, sf, path)
+    rows = documents.job_rows(readers.read_run_document(spark, path))
+    return with_read_position(rows, [F.col("pos.block.file"), F.col("pos.block.block")], "position").drop("pos")
 
 
 def pending_document_head(spark, sf):
@@ -65,7 +69,9 @@ def pending_document_head(spark, sf):
             F.monotonically_increasing_id().alias("record")).alias("pos"))
         blocks = readers.parse_run_records(records).agg(F.count_distinct("run_id").alias("runs"))
         return records.agg(F.min_by("value", "pos").alias("head")).crossJoin(blocks)  # one row each
-    return _new_document(spark, sf, read)
+    with staging(spark, "pending") as path:
+        _write_new_document(spark, sf, path)
+        return read(path).checkpoint()
 
 
 def category_list(spark, sf):
@@ -91,9 +97,10 @@ def document_has_categories(spark, sf):
 
     with staging(spark, "pending") as new, staging(spark, "filled") as filled, staging(spark, "listed") as listed:
         rows = failed_jobs(spark, sf).withColumn("pos", F.struct("run_started_at", "run_id", "job_seq", "job_id"))
-        rows = rows.select("pos", *[F.col(c).cast("string").alias(c) for c in FAILED_JOB_COLUMNS])
-        writers.write_pending_document(writers.pending_document(rows), new)
-        writers.write_run_document(writers.block_pieces(_block_input(spark, sf)), filled)
+        # the id keeps its type: the rows are already partitioned by it
+        rows = rows.select("pos", "run_id", *[F.col(c).cast("string").alias(c) for c in FAILED_JOB_COLUMNS if c != "run_id"])
+        writers.write_pending_document(writers.pending_document(rows), new, writers.STAGED)
+        writers.write_run_document(writers.block_pieces(_block_input(spark, sf)), filled, writers.STAGED)
         writers.write_category_section(category_list(spark, sf), listed)
         jobs = {path: documents.job_rows(readers.read_run_document(spark, path)) for path in (new, filled)}
         lists = {path: readers.parse_descriptions(readers.read_category_section(spark, path)) for path in (new, listed)}

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from emberline import params
 from emberline.operators import history
-from emberline.operators.ordering import with_position
+from emberline.operators.ordering import with_position, with_read_position
 from emberline.plans.inputs import FAILED, failed_jobs, failed_runs, lookback_start, with_iso
 from emberline.session import staging, staging_path
-from emberline.sinks.writers import write_failed_jobs, write_lines
+from emberline.sinks.writers import STAGED, write_failed_jobs, write_lines
 from emberline.sources import adapter, readers
 from emberline.sources.readers import read_failed_jobs
 
@@ -96,8 +96,8 @@ def run_groups(spark, sf):
 def csv_roundtrip(spark, sf):
     path = staging_path(spark, "failed-jobs")
     rows = failed_jobs(spark, sf).withColumn("pos", F.struct("run_id", "job_seq", "job_id"))
-    write_failed_jobs(rows, path)
-    return with_position(read_failed_jobs(spark, path), [F.col("pos")], "position").drop("pos")
+    write_failed_jobs(rows, path, STAGED)
+    return with_read_position(read_failed_jobs(spark, path), [F.col("pos.file")], "position").drop("pos")
 
 
 def _through_files(spark, name, lines, read):

@@ -20,11 +20,12 @@ def write_lines(lines: DataFrame, path: str, compression: str = STAGED) -> None:
     lines.write.option("maxRecordsPerFile", LINES_PER_FILE).text(path, compression=compression)
 
 
-def write_failed_jobs(rows: DataFrame, path: str) -> None:
+def write_failed_jobs(rows: DataFrame, path: str, compression: str = "none") -> None:
     """Newest run first, fixed column order. `rows` carries its source order in `pos`."""
     (rows.orderBy(F.desc("run_started_at"), "pos").select(*FAILED_JOB_COLUMNS)
      .write.option("maxRecordsPerFile", CSV_ROWS_PER_FILE)
-     .csv(path, header=True, escape='"', mode="overwrite", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
+     .csv(path, header=True, escape='"', mode="overwrite", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+          compression=compression))
 
 
 # --- run document ------------------------------------------------------------------
@@ -87,23 +88,27 @@ HEAD = ("# CI Failure Classification Progress", "", "## Categories So Far", "<!-
 
 
 def pending_document(rows: DataFrame, block_jobs: int = BLOCK_JOBS) -> DataFrame:
-    """The whole new document for rows of the failed-job file: (run_pos, block_no, part, job_no, text).
+    """The whole new document for rows of the failed-job file: (run_pos, block_no, part, pos, text).
 
     Runs stand in the order of their first row and their jobs in the order of the rows, which are at `pos`; the
     fields of a run come from its first row. Every run is pending and the results of its jobs are empty. The
     head and the empty category list are one row before all others. A run of more than `block_jobs` jobs has
-    several blocks in a row, which `run_fields` makes one run of again.
+    several blocks in a row, which `run_fields` makes one run of again. Only rows of such runs are numbered:
+    the others have one block, whose jobs are sorted by `pos` when it is written.
     """
-    numbered = with_position(rows, [F.col("pos")], "job_no", ["run_id"]).withColumn(
-        "block_no", F.floor((F.col("job_no") - 1) / block_jobs).cast("bigint"))
     fields = [c for c in RUN_TEMPLATE if c != "status"]
-    runs = numbered.where("job_no = 1").select("run_id", F.col("pos").alias("run_pos"), F.struct(*fields).alias("run"))
-    ends = numbered.select("run_id", "block_no").distinct().join(runs, "run_id")
+    # one row a run; read for the frames, for the places of the jobs and to find the long runs
+    runs = (rows.where(F.col("run_id").isNotNull()).groupBy("run_id")
+            .agg(F.min(F.struct("pos", *fields)).alias("first"), F.count("*").alias("jobs"))
+            .select("run_id", F.col("first.pos").alias("run_pos"), F.struct(*[f"first.{c}" for c in fields]).alias("run"), "jobs").checkpoint())
+    blocks = F.floor((F.col("jobs") - 1) / block_jobs).cast("bigint")
+    ends = runs.withColumn("block_no", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks)))
+    numbered = _in_blocks(rows, runs.where(F.col("jobs") > block_jobs).select("run_id"), block_jobs)
     opener = F.concat_ws(
         "\n", F.concat(F.lit("<!-- BEGIN RUN "), "run_id", F.lit(" -->")), F.concat(F.lit("## run_id: "), "run_id"),
         _line("status", F.lit("pending")), *[_line(c, F.col("run")[c]) for c in fields], F.lit(""))
     footer = F.concat(F.lit("<!-- END RUN "), "run_id", F.lit(" -->\n"))
-    none = F.lit(0).cast("bigint").alias("job_no")
+    none = F.lit(None).cast(rows.schema["pos"].dataType).alias("pos")
     frame = ends.select("run_pos", "block_no", F.inline(F.array(
         F.struct(F.lit(0).alias("part"), none, opener.alias("text")), F.struct(F.lit(2).alias("part"), none, footer.alias("text")))))
     known = {"job_conclusion": F.col("job_conclusion"), "step": F.col("failure_step")}
@@ -111,17 +116,29 @@ def pending_document(rows: DataFrame, block_jobs: int = BLOCK_JOBS) -> DataFrame
                           *[_line(label, known.get(c, F.lit(""))) for label, c in JOB_TEMPLATE], F.lit(""))
     # the place of a run is one row a run; Spark splits the partitions of a run with very many jobs
     sections = numbered.join(runs.select("run_id", "run_pos"), "run_id").select(
-        "run_pos", "block_no", F.lit(1).alias("part"), "job_no", section.alias("text"))
+        "run_pos", "block_no", F.lit(1).alias("part"), "pos", section.alias("text"))
     first = rows.sparkSession.range(1).select(
         F.lit(None).cast(frame.schema["run_pos"].dataType).alias("run_pos"), F.lit(0).cast("bigint").alias("block_no"),
         F.lit(0).alias("part"), none, F.lit("\n".join(HEAD)).alias("text"))
     return first.unionByName(frame).unionByName(sections)
 
 
-def write_pending_document(pieces: DataFrame, path: str) -> None:
+def _in_blocks(rows: DataFrame, long: DataFrame, block_jobs: int) -> DataFrame:
+    """Rows with the number of their block: 0 unless their run is one of the `long` ones."""
+    whole = F.lit(0).cast("bigint")
+    if long.isEmpty():
+        return rows.withColumn("block_no", whole)
+    few = F.broadcast(long)  # at most one run in `block_jobs` rows
+    numbered = with_position(rows.join(few, "run_id", "left_semi"), [F.col("pos")], "job_no", ["run_id"])
+    return rows.join(few, "run_id", "left_anti").withColumn("block_no", whole).unionByName(
+        numbered.withColumn("block_no", F.floor((F.col("job_no") - 1) / block_jobs).cast("bigint")).drop("job_no"))
+
+
+def write_pending_document(pieces: DataFrame, path: str, compression: str = "none") -> None:
     """The head, then the blocks in order; a block is never split over two files."""
     order = [F.col("run_pos").asc_nulls_first(), F.col("block_no")]
-    (pieces.repartitionByRange(*order).sortWithinPartitions(*order, "part", "job_no").select("text").write.text(path))
+    (pieces.repartitionByRange(*order).sortWithinPartitions(*order, "part", "pos").select("text")
+     .write.text(path, compression=compression))
 
 
 def category_lines(categories: DataFrame) -> DataFrame:

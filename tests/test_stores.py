@@ -1,13 +1,16 @@
 """Stored runs, the compacted status table, the new document, checked readers and statistics over files."""
 
+import contextlib
+import io
 from pathlib import Path
 
 import pytest
 from helpers import values
 from pyspark.sql import functions as F
 
-from emberline.operators import stats
+from emberline.operators import ordering, stats
 from emberline.params import FAILED_JOB_COLUMNS
+from emberline.plans import documents as documents_of_queries
 from emberline.plans import ingest
 from emberline.sinks import run_table, writers
 from emberline.sources import documents, readers
@@ -149,3 +152,39 @@ def test_staged_lines_are_small_and_whole(spark):
 
     assert values(ingest._through_files(spark, "lines", lines, read)) == values(lines)
     assert sizes[0] * 4 < sum(len(r.value) + 1 for r in lines.collect())
+
+
+def test_new_document_numbers_only_long_runs(spark, table, monkeypatch):
+    rows = [(i, str(run), f"u{run}", "main", "push", "s", f"job {i}", "failure", "", "", "1", "")
+            for i, run in enumerate([5] * 7 + [3, 3, 4, 3, 5])]
+    data = table(rows, "pos INT, " + ", ".join(f"{c} STRING" for c in FAILED_JOB_COLUMNS))
+    numbered = []
+    real = writers.with_position
+    monkeypatch.setattr(writers, "with_position", lambda df, *a: numbered.append(values(df, "pos")) or real(df, *a))
+    text = "".join(r.text for r in writers.pending_document(data, 3).orderBy("run_pos", "block_no", "part", "pos").collect())
+    assert numbered == [[(i,) for i in (0, 1, 2, 3, 4, 5, 6, 11)]]
+    assert [line.strip("#` ") for line in text.split("\n") if "job: `" in line] == [f"job: `job {i}" for i in (0, 1, 2, 3, 4, 5, 6, 11, 7, 8, 10, 9)]
+    assert [text.count(f"BEGIN RUN {r} ") for r in (5, 3, 4)] == [3, 1, 1]
+    numbered.clear()
+    writers.pending_document(data, 8).collect()
+    assert numbered == []
+
+
+def test_positions_follow_the_files(spark, tmp_path):
+    for part, n in ((2, 5), (0, 400), (1, 90)):
+        (tmp_path / f"part-{part}.txt").write_text("".join(f"{part}-{i:03}\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        lines = spark.read.text(str(tmp_path)).select("value", "_metadata.file_name", "_metadata.file_block_start")
+        got = ordering.with_read_position(lines, [F.col("file_name"), F.col("file_block_start")], "position").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.position for r in sorted(got, key=lambda r: r.value)] == list(range(1, 496))
+
+
+def test_positions_of_the_new_document_store_no_rows(spark):
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        documents_of_queries.pending_document_jobs(spark, "/root/testdata/sf0.001").explain()
+    assert "ExistingRDD" not in text.getvalue() and "rangepartitioning" not in text.getvalue()
