@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import cosine_links, groups, near_duplicates
 from pyspark.sql import functions as F
@@ -67,6 +68,34 @@ def test_rows_of_one_id_with_different_texts_keep_their_links(spark):
     assert sorted((r.doc_id, r.component_id) for r in rows) == [(5, 5), (5, 5), (7, 5), (9, 5)]
 
 
+def test_links_of_components_that_also_share_a_seeming_pair(spark, monkeypatch):
+    """A pair of two components that survives by its signatures only hides none of their other pairs."""
+    def in_one_bucket(bands, rows):
+        def run(batches):
+            for batch in batches:
+                ids = batch.column("id").to_numpy()
+                yield pa.RecordBatch.from_pydict({
+                    "id": pa.array(ids), "key": pa.array(ids // 100), "band": pa.array(np.zeros(len(ids), np.int32))})
+        return run
+
+    monkeypatch.setattr(minhash, "_bands", in_one_bucket)
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 1)
+    draw, docs = np.random.default_rng(7), []
+    for c in range(20):
+        ids, said = draw.permutation(30) + 100 * c, [f"c{c}w{i}" for i in range(400)]
+        docs += [(int(ids[k]), " ".join(said[8 * k:8 * k + 104])) for k in range(30)]  # neighbours 0.85, the next ones 0.72
+    assert found(spark.createDataFrame(docs, "doc_id LONG, text STRING")) == near_duplicates(docs)
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """Texts of one id link what they are copies of, also where they are no near copies of each other; a null one links nothing."""
+    one, other = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    docs = [(5, one), (5, other), (5, None), (3, other), (9, one), (2, one + " y"), (8, other + " y"), (7, "alone")]
+    rows = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id LONG, text STRING")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [
+        (2, 2, True), (3, 2, False), (5, 2, False), (5, 2, False), (5, 5, True), (7, 7, True), (8, 2, False), (9, 2, False)]
+
+
 def test_open_pairs_of_blocks_are_compared(spark, copies, monkeypatch):
     """One round with one member each, then blocks of four rows: nothing may be lost."""
     monkeypatch.setattr(minhash, "STAR_ROUNDS", 1)
